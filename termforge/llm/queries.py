@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termforge.llm import copies, encode, lookalike, mixing, term_counts
+from termforge.llm import copies, encode, lookalike, mixing, neighbours, term_counts
 from termforge.sources.tables import table
 
 LABEL_COMMON, WORD_COMMON, RARE_BELOW = 0.01, 0.5, 3
@@ -49,6 +49,17 @@ def p4_records(spark: SparkSession, d: str) -> DataFrame:
     return _ledger(spark, d)[1].select("first_id", "copies")
 
 
+def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The 5 most similar others of every usable vector of both tables, from cosine 0.82 on."""
+    both = table(spark, d, "entries").select("id", "embedding").unionByName(table(spark, d, "semantic_dict_16").select("id", "embedding"))
+    return neighbours.neighbours(both, "id", "embedding")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    near = p5_neighbours(spark, d)
+    return near.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.token_ids(table(spark, d, "documents"), "doc_id", "text")
 
@@ -70,6 +81,8 @@ QUERIES = {
     "p3_consistent": p3_consistent,
     "p4_found": p4_found,
     "p4_records": p4_records,
+    "p5_found": p5_found,
+    "p5_neighbours": p5_neighbours,
     "p6_ids": p6_ids,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
