@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from termforge.session import written
+
 # Letters and signs of other kinds that are drawn like the one on the right.
 DRAWN_ALIKE = {
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
@@ -100,10 +102,16 @@ def with_consistent(df: DataFrame, value: str, within: list[str], out: str = "ca
 def alike_pairs(df: DataFrame, id_col: str, fields: list[str], within: list[str]) -> DataFrame:
     """(id_a, id_b, field): rows that agree in `within` and whose values of a field are different strings that look the same.
 
-    The fields are stacked, classes with several forms are found by consistent_classes(), and only their members go on. Pairs are made
+    Two different strings can only look the same if one of them holds a character beyond printable ASCII, so only groups of `within` with
+    such a value go on. Their fields are stacked, classes with several forms are found by consistent_classes(), and pairs are made
     between the forms of a class first and only then between rows, so rows that share a form are never compared with each
     other, and every row that is made is a result. Null fields and rows with null within take no part; repeated ids are taken as one row each.
     """
+    odd = F.lit(False)
+    for f in fields:
+        odd = odd | F.coalesce(F.col(f).rlike(r"[^\t\n\r -~]"), F.lit(False))
+    df = df.select(id_col, *within, *fields)
+    df = df.join(df.where(odd).select(*within).distinct(), within, "left_semi")
     rows = df.select(
         F.col(id_col).alias("id"), *within, F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields]))
     )
@@ -115,6 +123,7 @@ def alike_pairs(df: DataFrame, id_col: str, fields: list[str], within: list[str]
     for c in key:
         on = on & (F.col(f"r.{c}") == F.col(f"c.{c}"))
     members = keyed.alias("r").join(classes.alias("c"), on).select("r.id", *[f"r.{c}" for c in key], "c.canonical", "r.value")
+    members = written(members, "alike")
     key = [*key, "canonical"]
     forms = members.select(*key, "value").distinct()
     pairs = forms.alias("x").join(forms.withColumnRenamed("value", "other").alias("y"), key).where("value <> other")
