@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termforge.llm import copies, encode, lookalike, mixing, neighbours, term_counts
+from termforge.llm import copies, encode, garble, lookalike, mixing, neighbours, term_counts
 from termforge.sources.tables import table
 
 LABEL_COMMON, WORD_COMMON, RARE_BELOW = 0.01, 0.5, 3
@@ -74,6 +74,14 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(*mixing.mix(mixing.sized_documents(table(spark, d, "documents"), targets), targets))
 
 
+def p8_restored(spark: SparkSession, d: str) -> DataFrame:
+    return garble.garbled(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_restored(spark, d).select("doc_id").distinct()
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_terms": p2_terms,
@@ -86,6 +94,8 @@ QUERIES = {
     "p6_ids": p6_ids,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_restored": p8_restored,
 }
 
 
