@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from termforge.plans import skew_queries
+from termforge.plans import aggregate_queries, filter_queries, lookup_queries, skew_queries
 
-MODULES = [skew_queries]
+MODULES = [skew_queries, filter_queries, aggregate_queries, lookup_queries]
 
 
 def queries() -> dict:
