@@ -89,7 +89,8 @@ def stopword_usage(entries: DataFrame, words: list[str], name: str = "unused") -
 
 
 def stopword_lists(entries: DataFrame, no_term: list[str], no_begin: list[str], no_end: list[str]) -> DataFrame:
-    """Stop-word lists after compiling: words used anywhere, first or last in a label leave the list in question."""
+    """Stop-word lists after compiling: words used anywhere, first or last in a label leave the list in question. Entries without dictionary are left out."""
+    entries = entries.where("dictionary_id IS NOT NULL")
     t = F.split(F.trim(F.lower("label")), r"\s+")
     per = entries.where("label IS NOT NULL").select(
         "dictionary_id", t.alias("t"), F.element_at(t, 1).alias("first"), F.element_at(t, -1).alias("last")
@@ -113,7 +114,7 @@ def stopword_lists(entries: DataFrame, no_term: list[str], no_begin: list[str],
     every = entries.select("dictionary_id").distinct().join(used, "dictionary_id", "left")
 
     def rest(n: str, words: list[str]) -> Column:
-        full = F.array(*[F.lit(w) for w in words])
+        full = F.array(*[F.lit(w) for w in dict.fromkeys(words)])
         return F.coalesce(F.array_except(full, F.col(n)), full).alias(n)
 
     return every.select("dictionary_id", *[rest(n, w) for n, w in lists.items()])

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -173,25 +172,33 @@ def context_kept(docs: DataFrame, contexts: DataFrame, least: float) -> DataFram
     return pairs.where(F.col("context_embedding").isNull() | similar).select("doc_id", "dictionary_id")
 
 
+FIELDS = ["begin", "end", "obj", "score", "string", "label", "norm1", "norm2"]
+OUT = pa.list_(pa.struct([(n, pa.int32()) for n in ("begin", "end")] + [("obj", pa.string()), ("score", pa.float64())] + [(n, pa.string()) for n in ("abbr_type", "string", "label", "norm1", "norm2")]))
+
+
+def _resolved(text: str, rows: list[dict], options: Options) -> list[dict]:
+    keep = options.verbose
+    ds = list(
+        dict.fromkeys(
+            Denotation(r["begin"], r["end"], r["obj"], r["score"], r["string"], *((r["label"], r["norm1"], r["norm2"]) if keep else (None, None, None))) for r in rows
+        )
+    )
+    chosen = resolve(ds, options.longest, options.superfluous)
+    if options.abbreviation:
+        chosen = merged(chosen, local_abbreviations(text, _parsed(text)[0], ds))
+    return [
+        {"begin": d.begin, "end": d.end, "obj": d.obj, "score": d.score, "abbr_type": d.abbr_type, "string": d.string, "label": d.label, "norm1": d.norm1, "norm2": d.norm2}
+        for d in chosen
+    ]
+
+
 def _resolver(options: Options):
-    def run(key: tuple, texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        if texts.empty or found.empty:
-            return pd.DataFrame({"doc_id": [], "denotations": []})
-        text = texts["text"].iloc[0]
-        ds = [
-            Denotation(int(r.begin), int(r.end), r.obj, float(r.score), r.string, r.label if options.verbose else None, r.norm1 if options.verbose else None, r.norm2 if options.verbose else None)
-            for r in found.itertuples()
-        ]
-        ds = list(dict.fromkeys(ds))
-        chosen = resolve(ds, options.longest, options.superfluous)
-        if options.abbreviation and ds:
-            toks, _ = _parsed(text)
-            chosen = merged(chosen, local_abbreviations(text, toks, ds))
-        rows = [
-            {"begin": d.begin, "end": d.end, "obj": d.obj, "score": d.score, "abbr_type": d.abbr_type, "string": d.string, "label": d.label, "norm1": d.norm1, "norm2": d.norm2}
-            for d in chosen
-        ]
-        return pd.DataFrame({"doc_id": [int(texts["doc_id"].iloc[0])], "denotations": [rows]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                found = [_resolved(t, rows, options) for t, rows in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, OUT)], ["doc_id", "denotations"])
 
     return run
 
@@ -244,7 +251,8 @@ def annotate(
         none = F.lit(None).cast("string")
         more = pattern_denotations(docs, patterns).select("doc_id", "begin", "end", "obj", F.lit(1.0).alias("score"), "string", none.alias("label"), none.alias("norm1"), none.alias("norm2"))
         ds = ds.unionByName(more)
-    done = docs.groupBy("doc_id").cogroup(ds.groupBy("doc_id")).applyInPandas(_resolver(options), RESULT)
+    listed = ds.groupBy("doc_id").agg(F.collect_list(F.struct(*FIELDS)).alias("found"))
+    done = docs.join(listed, "doc_id").select("doc_id", "text", "found").mapInArrow(_resolver(options), RESULT)
     return done.where(F.size("denotations") > 0)
 
 

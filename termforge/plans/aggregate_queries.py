@@ -87,7 +87,7 @@ def _list_sql(words: list[str]) -> str:
 add(
     "agg_stopword_usage",
     of("entries", lambda e: a.stopword_lists(e, NO_TERM_WORDS, EDGE_WORDS, EDGE_WORDS).select("dictionary_id", *[F.array_join(c, " ").alias(c) for c in ("no_term_words", "no_begin_words", "no_end_words")])),
-    rf"""WITH t AS (SELECT dictionary_id, regexp_split_to_array(trim(lower(label), ' ' || chr(9) || chr(10)), '[\s]+') AS t FROM entries),
+    rf"""WITH t AS (SELECT dictionary_id, regexp_split_to_array(trim(lower(label), ' ' || chr(9) || chr(10)), '[\s]+') AS t FROM entries WHERE dictionary_id IS NOT NULL),
     u AS (SELECT dictionary_id, list(DISTINCT w) AS used FROM (SELECT dictionary_id, unnest(t) AS w FROM t) GROUP BY 1),
     f AS (SELECT dictionary_id, list(DISTINCT t[1]) AS first, list(DISTINCT t[-1]) AS last FROM t GROUP BY 1),
     x AS (SELECT f.*, coalesce(used, []) AS used FROM f LEFT JOIN u ON f.dictionary_id IS NOT DISTINCT FROM u.dictionary_id)
