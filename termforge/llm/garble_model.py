@@ -167,7 +167,9 @@ PAIRS = {
     "euc_jp": ["cp1252", "latin-1"],
 }
 STATES = [State(a, b) for a, bs in PAIRS.items() for b in bs] + [State("utf-8", "cp1252", 2), State("utf-8", "latin-1", 2), State("utf-8", "mac-roman", 2)]
-ENTER_MULTI, ENTER_SINGLE, LEAVE, WRONG, READ = 4.0, 5.0, 0.3, -9.0, 0.15
+ENTER_MULTI, ENTER_SINGLE, LEAVE, WRONG = 4.0, 5.0, 0.3, -9.0
+#: What a decoded character costs, and what it tells that several characters happen to make one.
+READ, GROUP = 0.15, 1.5
 
 
 def to_byte(encoding: str) -> np.ndarray:
@@ -310,7 +312,7 @@ class Model:
             value, at, done = self.restored(cp, s)
             score = self.usual(value)
             end = np.append(at[1:], len(cp))
-            gain = np.where(done, score - raw[at] - READ, 0)
+            gain = np.where(done, score - raw[at] - READ + GROUP * (end - at > 1), 0)
             out[i, odd] = WRONG
             out[i, at] = np.where(done, gain, np.where(odd[at], WRONG, 0))
             covered = np.repeat(done, end - at)
