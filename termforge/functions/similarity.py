@@ -24,9 +24,16 @@ def circular_trigrams(s: Column) -> Column:
     return _windows(s, F.concat(F.right(s, F.lit(1)), s, F.left(s, F.lit(1))), 3)
 
 
+def _let(a: Column, b: Column, then) -> Column:
+    """then(a, b) with both evaluated once: as the variable of a lambda, not as copies of their expressions."""
+    return F.get(F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), lambda v: then(v["a"], v["b"])), F.lit(0))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays as sets; 0 if either is empty."""
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).otherwise(F.lit(0.0))
+    return _let(
+        a, b, lambda x, y: F.when((F.size(x) > 0) & (F.size(y) > 0), F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))).otherwise(F.lit(0.0))
+    )
 
 
 def _str_sim(grams, a: Column, b: Column, a1: Column, b1: Column, a2: Column, b2: Column) -> Column:
@@ -52,6 +59,10 @@ def _gram_cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), dot / (norm(a) * norm(b))).otherwise(F.lit(0.0))
 
 
+def gram_cosine(a: Column, b: Column) -> Column:
+    return _let(a, b, _gram_cosine)
+
+
 def plain_bigrams(s: Column) -> Column:
     grams = F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: F.substring(s, i, F.lit(2)))
     return F.when(F.length(s) > 1, grams).otherwise(F.array().cast("array<string>"))
@@ -59,7 +70,7 @@ def plain_bigrams(s: Column) -> Column:
 
 def str_sim_jp(a: Column, b: Column) -> Column:
     """Japanese: cosine over characters, 0.7, and over pairs of characters, 0.3, of the labels as they are."""
-    return _gram_cosine(unigrams(a), unigrams(b)) * 0.7 + _gram_cosine(plain_bigrams(a), plain_bigrams(b)) * 0.3
+    return gram_cosine(unigrams(a), unigrams(b)) * 0.7 + gram_cosine(plain_bigrams(a), plain_bigrams(b)) * 0.3
 
 
 def str_sim(language: Column, a: Column, b: Column, a1: Column, b1: Column, a2: Column, b2: Column) -> Column:

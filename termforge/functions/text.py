@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -81,8 +82,6 @@ class _Breaks:
         self.at = breaks
 
     def between(self, begin: int, end: int) -> bool:
-        from bisect import bisect_right
-
         i = bisect_right(self.at, begin)
         return i < len(self.at) and self.at[i] < end
 
@@ -131,27 +130,36 @@ def _fit(a: Token, z: Token) -> tuple[int, int] | str:
     return "skip"
 
 
-def candidate_spans(toks: list[Token], breaks: list[int], rules: SpanRules) -> Iterator[Span]:
-    """Spans of tokens that may be terms: within a sentence, without stop words at the ends, in balanced parentheses."""
-    b = _Breaks(breaks)
-    for i in range(len(toks) - rules.shortest + 1):
+def candidate_spans(toks: list[Token], breaks: list[int], rules: SpanRules, wanted: Callable[[str], bool] | None = None) -> Iterator[Span]:
+    """Spans of tokens that may be terms: within a sentence, without stop words at the ends, in balanced parentheses.
+
+    wanted tells of a norm2 whether it is of use; spans of others are left out.
+    """
+    n = len(toks)
+    # sentence of each token's begin and end; a span crosses a break if one lies strictly between them
+    begins = [bisect_right(breaks, t.begin) for t in toks]
+    ends = [bisect_left(breaks, t.end) for t in toks]
+    stops = [t.norm1 in rules.no_term for t in toks]
+    for i in range(n - rules.shortest + 1):
         a = toks[i]
-        if a.norm1 in rules.no_term or a.norm1 in rules.no_begin:
+        if stops[i] or a.norm1 in rules.no_begin:
             continue
-        for j in range(i + rules.shortest - 1, min(i + rules.longest, len(toks))):
+        norm1 = "".join(t.norm1 for t in toks[i : i + rules.shortest - 1])
+        norm2 = "".join(t.norm2 for t in toks[i : i + rules.shortest - 1])
+        for j in range(i + rules.shortest - 1, min(i + rules.longest, n)):
             z = toks[j]
-            if b.between(a.begin, z.end) or z.norm1 in rules.no_term:
+            if stops[j] or ends[j] > begins[i]:
                 break
+            norm1 += z.norm1
+            norm2 += z.norm2
             if z.norm1 in rules.no_end:
                 continue
-            at = _fit(a, z)
+            at = (a.begin, z.end) if a.level == z.level else _fit(a, z)
             if at == "stop":
                 break
-            if at == "skip":
+            if at == "skip" or not norm2 or (wanted is not None and not wanted(norm2)):
                 continue
-            norm2 = "".join(t.norm2 for t in toks[i : j + 1])
-            if norm2:
-                yield Span(at[0], at[1], i, j, "".join(t.norm1 for t in toks[i : j + 1]), norm2)
+            yield Span(at[0], at[1], i, j, norm1, norm2)
 
 
 def abbreviation_type(short: str, full: str) -> str | None:

@@ -18,7 +18,7 @@ from termforge.functions.udfs import normalize1, normalize2
 from termforge.operators.bitmap import may_hold, string_bitmap
 from termforge.operators.filters import with_any_tag, without_black
 from termforge.operators.ngram import similarity_join
-from termforge.session import written
+from termforge.session import spread, written
 
 DENOTATION = "begin int, end int, obj string, score double, abbr_type string, string string, label string, norm1 string, norm2 string"
 OCCURRENCE = "doc_id long, begin int, end int, span string, norm1 string, norm2 string"
@@ -75,21 +75,22 @@ def _parsed(text: str) -> tuple[list[kernels.Token], list[int]]:
 def _spans(rules: kernels.SpanRules, bitmap):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, bool] = {}
+
+        def wanted(norm2: str) -> bool:
+            known = seen.get(norm2)
+            if known is None:
+                if len(seen) > 500_000:
+                    seen.clear()
+                known = seen[norm2] = may_hold(bitmap.value, norm2)
+            return known
+
         for b in batches:
             rows: list[tuple] = []
             for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if not t:
                     continue
                 toks, breaks = _parsed(t)
-                for s in kernels.candidate_spans(toks, breaks, rules):
-                    if bitmap is not None:
-                        ok = seen.get(s.norm2)
-                        if ok is None:
-                            if len(seen) > 500_000:
-                                seen.clear()
-                            ok = seen[s.norm2] = may_hold(bitmap.value, s.norm2)
-                        if not ok:
-                            continue
+                for s in kernels.candidate_spans(toks, breaks, rules, None if bitmap is None else wanted):
                     rows.append((doc, s.begin, s.end, t[s.begin : s.end], s.norm1, s.norm2))
                 if len(rows) > 50_000:
                     yield _batch(rows)
@@ -111,7 +112,8 @@ def candidate_occurrences(docs: DataFrame, rules: kernels.SpanRules, known: Data
     docs: (doc_id, text). known: a table with norm2; spans whose norm2 it can't hold never leave their task, by a bitmap of fixed size.
     """
     bitmap = None if known is None else docs.sparkSession.sparkContext.broadcast(string_bitmap(known, "norm2"))
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_spans(rules, bitmap), OCCURRENCE)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return spread(docs, "doc_id").mapInArrow(_spans(rules, bitmap), OCCURRENCE)
 
 
 def surface_matches(spans: DataFrame, known: DataFrame, options: Options) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termforge.functions.similarity import circular_bigrams, circular_trigrams, unigrams
@@ -17,31 +17,73 @@ def postings(strings: DataFrame, value: str, n: int = 3) -> DataFrame:
 
 
 def _sets(df: DataFrame, value: str, n: int) -> DataFrame:
-    return df.where(F.length(value) > 0).select(F.col(value).alias("v")).distinct().withColumn("g", F.array_distinct(GRAMS[n](F.col("v"))))
+    """Distinct strings with their grams, in a fixed number of partitions: work on grams costs far more than the size of strings tells."""
+    spark = df.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    sets = df.where(F.length(value) > 0).select(F.col(value).alias("v")).distinct().repartition(parts, "v")
+    return sets.withColumn("g", F.array_distinct(GRAMS[n](F.col("v"))))
 
 
-def _prefixes(sets: DataFrame, counts: DataFrame, keep: Column) -> DataFrame:
-    """Each set's rarest grams, as many as any partner of enough similarity must share one of."""
-    one = sets.select("v", F.size("g").alias("n"), F.explode("g").alias("gram")).join(counts, "gram", "left")
-    order = Window.partitionBy("v").orderBy(F.coalesce("df", F.lit(0)), "gram")
-    return one.withColumn("r", F.row_number().over(order)).where(F.col("r") <= keep).select("v", "n", "gram")
+SLOTS = 4096
+WORDS = ["w0", "w1", "w2", "w3"]
+
+
+def _signature(g: Column) -> list[Column]:
+    """256 bits, each gram setting one: what bits a set has beyond another's are grams that the other lacks."""
+    bits = F.transform(g, lambda x: F.pmod(F.xxhash64(F.lit("bit"), x), F.lit(64 * len(WORDS))).cast("int"))
+
+    def word(i: int) -> Column:
+        here = F.filter(bits, lambda b: F.shiftright(b, 6) == i)
+        return F.aggregate(here, F.lit(0).cast("long"), lambda s, b: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), b.bitwiseAND(F.lit(63)))))
+
+    return [word(i).alias(w) for i, w in enumerate(WORDS)]
+
+
+def _slot(gram: Column) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(SLOTS)).cast("int")
+
+
+def _frequencies(sets: DataFrame) -> Column:
+    """How many grams fall into each of SLOTS slots of their hash: a table of fixed size, as a constant."""
+    slots = sets.select(F.explode("g").alias("gram")).groupBy(_slot(F.col("gram")).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    counts = [0] * SLOTS
+    for r in slots.collect():
+        counts[r.slot] = r.n
+    return F.split(F.lit(",".join(map(str, counts))), ",").cast("array<long>")
+
+
+def _prefixes(sets: DataFrame, frequencies: Column, keep: Column) -> DataFrame:
+    """Each set's first grams in one order of all grams, as many as any partner of enough similarity must share one of.
+
+    Grams of rare slots come first, so what joins is rare; any order common to both sides would be right. The order is made
+    within each row, without a join or a shuffle.
+    """
+    order = F.transform("g", lambda x: F.struct(F.get(frequencies, _slot(x)).alias("n"), F.xxhash64(x).alias("h"), x.alias("x")))
+    first = F.slice(F.array_sort(order), F.lit(1), F.greatest(F.lit(1), keep.cast("int")))
+    rows = sets.select("v", F.size("g").alias("n"), "g", *_signature(F.col("g")))
+    return rows.select("v", "n", *WORDS, F.explode(F.transform(first, lambda s: s["x"])).alias("gram"))
 
 
 def similarity_join(left: DataFrame, left_col: str, right: DataFrame, right_col: str, threshold: float, n: int = 3, measure: str = "jaccard") -> DataFrame:
     """(left, right, similarity): distinct strings of both sides whose gram sets are at least `threshold` similar.
 
-    measure is jaccard or cosine. Exact: a pair that is similar enough shares one of the rarest grams of either side (prefix filter) and
-    has sizes within bounds (length filter); only such candidates are verified, and rare grams keep the join keys small. Empty and null
+    measure is jaccard or cosine. Exact: a pair that is similar enough shares one of the first grams of either side (prefix filter) and
+    has sizes within bounds (length filter); of these, pairs whose signatures show that too many grams differ drop out within the join, and
+    what is left is verified. Empty and null
     strings take no part.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
     a, b = _sets(left, left_col, n), _sets(right, right_col, n)
-    counts = b.select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    frequent = _frequencies(b)
     t = threshold if measure == "jaccard" else threshold**2
     keep = F.col("n") - F.ceil(F.col("n") * t - 1e-9) + 1
-    pa, pb = _prefixes(a, counts, keep), _prefixes(b, counts, keep)
+    pa, pb = _prefixes(a, frequent, keep), _prefixes(b, frequent, keep)
     fits = (F.col("pb.n") >= F.ceil(F.col("pa.n") * t - 1e-9)) & (F.col("pb.n") <= F.floor(F.col("pa.n") / t + 1e-9))
+    beyond = lambda x, y: sum((F.bit_count(F.col(f"{x}.{w}").bitwiseAND(F.bitwise_not(F.col(f"{y}.{w}")))) for w in WORDS), F.lit(0))
+    most = F.least(F.col("pa.n") - beyond("pa", "pb"), F.col("pb.n") - beyond("pb", "pa"))
+    product = F.sqrt(F.col("pa.n").cast("double") * F.col("pb.n"))
+    fits = fits & (most >= (F.col("pa.n") + F.col("pb.n")) * (t / (1 + t)) - 1e-9 if measure == "jaccard" else most >= product * threshold - 1e-9)
     pairs = pa.alias("pa").join(pb.alias("pb"), F.col("pa.gram") == F.col("pb.gram")).where(fits)
     pairs = pairs.select(F.col("pa.v").alias("left"), F.col("pb.v").alias("right")).distinct()
     x, y = a.select(F.col("v").alias("left"), F.col("g").alias("x")), b.select(F.col("v").alias("right"), F.col("g").alias("y"))

@@ -52,6 +52,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df over at least as many partitions as there are cores, for work that costs far more than a shuffle of its input.
+
+    Only tables of fewer files than cores are moved; larger ones have splits enough.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def remove_intermediates(spark: SparkSession) -> None:
     """Drops every intermediate table under the shared folder; call it when no lazy result needs them any more."""
     at = shared_dir(spark) + "/termforge"
