@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from termforge.plans import aggregate_queries, annotate_queries, filter_queries, lookup_queries, skew_queries, vector_queries
+from termforge.plans import aggregate_queries, annotate_queries, file_queries, filter_queries, lookup_queries, skew_queries, vector_queries
 
-MODULES = [skew_queries, filter_queries, aggregate_queries, lookup_queries, vector_queries, annotate_queries]
+MODULES = [skew_queries, filter_queries, aggregate_queries, lookup_queries, vector_queries, annotate_queries, file_queries]
 
 
 def queries() -> dict:

@@ -13,9 +13,18 @@ MAX_LABEL, MAX_IDENTIFIER, MAX_TOKENS = 127, 255, 10_000
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, line): lines of each file in their order, numbered from 1. A file is one split, as the order of lines is its meaning."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split("value", "\r\n|\n|\r").alias("lines"))
-    return whole.select("file", F.posexplode("lines").alias("n", "line")).select("file", (F.col("n") + 1).cast("long").alias("line_no"), "line")
+    """(file, line_no, line): lines of each file numbered from 1 in their order, however many tasks read the file.
+
+    Lines are counted per split of a file first; a line's number is what the splits before its own hold and its place within.
+    """
+    meta = F.col("_metadata")
+    lines = spark.read.text(path).select(
+        meta["file_path"].alias("file"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("m"), F.col("value").alias("line")
+    )
+    splits = lines.groupBy("file", "block").agg(F.min("m").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select("file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return lines.join(starts, ["file", "block"]).select("file", (F.col("start") + F.col("m") - F.col("first") + 1).alias("line_no"), "line")
 
 
 def parsed_lines(lines: DataFrame) -> DataFrame:

@@ -165,6 +165,54 @@ def test_loader(spark, tmp_path):
         entry_file.read_entries(spark, str(bad)).entries.collect()
 
 
+def test_line_numbers_over_splits(spark, tmp_path):
+    f = tmp_path / "big.txt"
+    f.write_text("".join(f"label {i}\tID:{i}\n" for i in range(1, 3001)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        rows = entry_file.numbered_lines(spark, str(f))
+        assert spark.read.text(str(f)).rdd.getNumPartitions() > 2
+        assert all(r.line == f"label {r.line_no}\tID:{r.line_no}" for r in rows.collect()) and rows.count() == 3000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_engine(spark, data):
+    from termforge.engine import Engine
+    from termforge.operators import params
+
+    e = Engine.of_folder(spark, data)
+    label = e.entries.join(filters.public(e.dictionaries).select(F.col("id").alias("dictionary_id")), "dictionary_id").where("mode = 0 AND length(label) > 5 AND identifier IS NOT NULL").orderBy("id").first()
+    ids = {r.label: r.identifiers for r in e.find_ids([label.label, "no such label"], threshold=1.0).collect()}
+    assert label.identifier in ids[label.label] and ids["no such label"] == []
+    name = e.dictionaries.where(F.col("id") == label.dictionary_id).first().name
+    terms = e.find_terms([label.identifier], [name], True).collect()
+    assert label.label in [x.label for x in terms[0].labels]
+    assert e.complete(label.label, name, "substring").count() >= 1
+    assert label.identifier in str(e.tool("find_ids", {"labels": label.label.replace(",", "|") if "," not in label.label else [label.label], "threshold": 1}))
+    assert name in e.tool("list_dictionaries", {}) and "description" in e.tool("get_dictionary_description", {"name": name})
+    out = e.annotate_texts([f"We saw {label.label} today.", ""], options=params.annotation_options({"threshold": "1", "longest": "0", "superfluous": "1"}))
+    assert out[1]["denotations"] == [] and any(d["string"] == label.label for d in out[0]["denotations"])
+    with pytest.raises(ValueError):
+        e.tool("nothing", {})
+
+
+def test_params():
+    from termforge.operators import params as p
+
+    assert [p.to_boolean(x) for x in (None, "true", "1", "yes", True)] == [False, True, True, False, True]
+    assert (p.to_integer("x"), p.to_integer(" 3 "), p.to_float("0.5"), p.to_float("")) == (None, 3, 0.5, None)
+    assert p.to_array("a|b, c\n\td") == ["a", "b", "c", "d"] and p.to_array(None) == [] and p.body_lines("a\n\nb,c") == ["a", "b", "c"]
+    assert p.annotation_options({}).longest and not p.annotation_options({"longest": "false"}).longest
+
+
+def test_normalize_str():
+    from termforge.functions.normalize_text import normalize_str
+
+    assert normalize_str("Big-Cells  divided", stems=True, hyphens_to_spaces=True, lowercase=True) == "big cell  divid"
+
+
 def test_exports(spark, tmp_path):
     e = entries(spark, [("a\tb", "X:1", 1), ('say "hi"', "X:2", 2), ("plain", "X:3", 0)])
     tags = spark.createDataFrame([(1, 1, "t1"), (2, 1, "t2")], "id long, dictionary_id long, value string")
