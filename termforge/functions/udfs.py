@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from termforge.functions import text as kernels
+from termforge.functions.normalize_text import normalize_str as keeping_gaps
 
 TOKEN_TYPE = ArrayType(
     StructType(
@@ -57,6 +58,11 @@ def decapitalize(s: pd.Series) -> pd.Series:
     return s.map(kernels.decapitalize, na_action="ignore")
 
 
+@F.pandas_udf(StringType())
+def normalize_str(s: pd.Series) -> pd.Series:
+    return s.map(lambda t: keeping_gaps(t, stems=True, lowercase=True, hyphens_to_spaces=True), na_action="ignore")
+
+
 SIMPLE = ArrayType(StructType([StructField("piece", StringType()), StructField("begin", IntegerType()), StructField("end", IntegerType())]))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -14,9 +14,11 @@ from termforge.functions.abbreviations import local_abbreviations
 from termforge.functions.patterns import matches
 from termforge.functions.resolve import Denotation, merged, resolve
 from termforge.functions.similarity import str_sim
-from termforge.functions.udfs import normalize1, normalize2
+from termforge.functions.udfs import normalize1, normalize2, worth_embedding
+from termforge.functions.vectors import usable
 from termforge.operators.bitmap import may_hold, string_bitmap
 from termforge.operators.filters import with_any_tag, without_black
+from termforge.operators.knn import exact_knn
 from termforge.operators.ngram import similarity_join
 from termforge.session import spread, written
 
@@ -138,6 +140,23 @@ def surface_matches(spans: DataFrame, known: DataFrame, options: Options) -> Dat
     return soft if options.threshold is not None else soft.unionByName(exact)
 
 
+def semantic_matches(spans: DataFrame, vectors: DataFrame, embed: Callable, threshold: float, k: int = 10) -> DataFrame:
+    """Matches in the columns of surface_matches(): of each span's k nearest searchable vectors those of similarity `threshold` or more.
+
+    vectors: (id, dictionary_id, label, identifier, searchable, embedding). Spans of fewer than three characters, or of digits and signs only,
+    aren't embedded. embed is a column function such as an embedder of termforge.sources.embedder.
+    """
+    asked = spans.where(worth_embedding(F.col("span"))).withColumn("no", F.xxhash64("span", "norm1", "norm2")).withColumn("vec", embed("span"))
+    asked = written(asked.where(usable(F.col("vec"))), "embedded")
+    none = F.lit(None).cast("string")
+    dim = F.size(F.col("embedding")) == (asked.agg(F.max(F.size("vec"))).first()[0] or 0)
+    rows = vectors.where(F.col("searchable") & usable(F.col("embedding")) & dim)
+    near = exact_knn(asked.select("no", none.alias("grp"), "vec"), rows.select("id", none.alias("grp"), F.col("embedding").alias("vec")), k)
+    near = near.where(F.col("distance") <= 1 - threshold).select(F.col("query").alias("no"), "id", (1 - F.col("distance")).alias("score"))
+    named = near.join(rows.select("id", "dictionary_id", "label", "identifier"), "id").join(asked.select("no", "span", "norm1", "norm2"), "no")
+    return named.where("identifier IS NOT NULL").select("span", "norm1", "norm2", "dictionary_id", "identifier", "label", none.alias("e1"), none.alias("e2"), "score")
+
+
 def best_matches(matches_: DataFrame, superfluous: bool) -> DataFrame:
     """Per span all matches, or those that tie for the best score."""
     if superfluous:
@@ -178,14 +197,17 @@ FIELDS = ["begin", "end", "obj", "score", "string", "label", "norm1", "norm2"]
 OUT = pa.list_(pa.struct([(n, pa.int32()) for n in ("begin", "end")] + [("obj", pa.string()), ("score", pa.float64())] + [(n, pa.string()) for n in ("abbr_type", "string", "label", "norm1", "norm2")]))
 
 
-def _resolved(text: str, rows: list[dict], options: Options) -> list[dict]:
+Chooser = Callable[[list[Denotation]], list[Denotation]]
+
+
+def _resolved(text: str, rows: list[dict], options: Options, choose: Chooser | None) -> list[dict]:
     keep = options.verbose
     ds = list(
         dict.fromkeys(
             Denotation(r["begin"], r["end"], r["obj"], r["score"], r["string"], *((r["label"], r["norm1"], r["norm2"]) if keep else (None, None, None))) for r in rows
         )
     )
-    chosen = resolve(ds, options.longest, options.superfluous)
+    chosen = choose(ds) if choose else resolve(ds, options.longest, options.superfluous)
     if options.abbreviation:
         chosen = merged(chosen, local_abbreviations(text, _parsed(text)[0], ds))
     return [
@@ -194,12 +216,12 @@ def _resolved(text: str, rows: list[dict], options: Options) -> list[dict]:
     ]
 
 
-def _resolver(options: Options):
+def _resolver(options: Options, choose: Chooser | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
-                found = [_resolved(t, rows, options) for t, rows in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+                found = [_resolved(t, rows, options, choose) for t, rows in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, OUT)], ["doc_id", "denotations"])
 
     return run
@@ -214,6 +236,9 @@ def annotate(
     contexts: DataFrame | None = None,
     semantic: DataFrame | None = None,
     tags: tuple[list[str], DataFrame, DataFrame] | None = None,
+    vectors: DataFrame | None = None,
+    embed: Callable | None = None,
+    choose: Chooser | None = None,
 ) -> DataFrame:
     """(doc_id, denotations) of every text in which a term is found.
 
@@ -223,7 +248,9 @@ def annotate(
 
     contexts: (doc_id, dictionary_id) pairs from context_kept(); only those dictionaries annotate a text. semantic: further matches
     (span, norm1, norm2, dictionary_id, identifier, label, e1, e2, score), which yield to surface matches of the same identifier.
-    tags: (values, entry_tags, tags) keeps entries with one of the values; off unless given. Null and empty texts give no row.
+    tags: (values, entry_tags, tags) keeps entries with one of the values; off unless given. vectors and embed: with a semantic_threshold,
+    spans are embedded and searched as in semantic_matches(). choose takes the place of the steps that resolve overlaps. Null and empty
+    texts give no row.
     """
     options = options or Options()
     if tags:
@@ -231,10 +258,14 @@ def annotate(
     known = written(compiled_entries(entries, dictionaries), "compiled")
     rules = span_rules(dictionaries, options)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL AND text <> ''")
-    prune = not options.use_ngram_similarity and semantic is None and (options.threshold is None or options.threshold < 1)
+    by_vector = options.semantic_threshold is not None and options.semantic_threshold > 0 and vectors is not None and embed is not None
+    prune = not options.use_ngram_similarity and semantic is None and not by_vector and (options.threshold is None or options.threshold < 1)
     occurrences = written(candidate_occurrences(docs, rules, known if prune else None), "occurrences")
     spans = occurrences.select("span", "norm1", "norm2").distinct()
     found = surface_matches(spans, known, options)
+    if by_vector:
+        more = semantic_matches(spans, vectors, embed, options.semantic_threshold)
+        semantic = more if semantic is None else semantic.unionByName(more)
     if semantic is not None:
         both = found.withColumn("o", F.lit(0)).unionByName(semantic.withColumn("o", F.lit(1)))
         order = Window.partitionBy("span", "norm1", "norm2", "identifier").orderBy("o", F.desc("score"))
@@ -254,7 +285,7 @@ def annotate(
         more = pattern_denotations(docs, patterns).select("doc_id", "begin", "end", "obj", F.lit(1.0).alias("score"), "string", none.alias("label"), none.alias("norm1"), none.alias("norm2"))
         ds = ds.unionByName(more)
     listed = ds.groupBy("doc_id").agg(F.collect_list(F.struct(*FIELDS)).alias("found"))
-    done = docs.join(listed, "doc_id").select("doc_id", "text", "found").mapInArrow(_resolver(options), RESULT)
+    done = docs.join(listed, "doc_id").select("doc_id", "text", "found").mapInArrow(_resolver(options, choose), RESULT)
     return done.where(F.size("denotations") > 0)
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from termforge.functions.resolve import consolidated, ordered, without_crossings, without_embedded
+from termforge.functions.udfs import hash_embedder, sentence_breaks, tokenize, worth_embedding
 from termforge.functions.vectors import usable
 from termforge.operators import annotate as a
 from termforge.plans.lookup_queries import dictionaries
@@ -51,13 +53,78 @@ def surface(s: SparkSession, d: str) -> DataFrame:
 
 def kept(s: SparkSession, d: str) -> DataFrame:
     """Dictionaries whose context is near enough to each text, the texts embedded by the stand-in."""
-    from termforge.functions.udfs import hash_embedder
-
     v = docs(s, d).where("text IS NOT NULL AND text <> ''").select("doc_id", hash_embedder(64)("text").alias("vec"))
     c = public(s, d).select(F.col("id").alias("dictionary_id"), F.when(usable(F.col("context_embedding"), 64), F.col("context_embedding")).alias("context_embedding"))
     return a.context_kept(v, c, 0.0).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_dictionaries"))
 
 
+def _steps(*steps):
+    """A query that stops after some of the steps which resolve overlaps."""
+
+    def choose(found):
+        for step in steps:
+            found = step(found)
+        return found
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        options = a.Options(abbreviation=False)
+        return a.exploded(a.annotate(docs(s, d), table(s, d, "entries"), public(s, d), options, patterns(s), choose=choose)).select("doc_id", "begin", "end", "obj", "score")
+
+    return run
+
+
+def known_spans(s: SparkSession, d: str) -> DataFrame:
+    known = a.compiled_entries(table(s, d, "entries"), public(s, d))
+    return a.candidate_occurrences(docs(s, d), a.span_rules(public(s, d), a.Options()), known).select("span", "norm1", "norm2").distinct()
+
+
+def semantic(s: SparkSession, d: str) -> DataFrame:
+    """All candidate spans of all documents, embedded by the stand-in, against the vectors of dictionary 16."""
+    found = a.candidate_occurrences(docs(s, d), a.span_rules(public(s, d), a.Options())).select("span", "norm1", "norm2").distinct()
+    m = a.semantic_matches(found, table(s, d, "semantic_dict_16"), hash_embedder(64), 0.45)
+    return m.select("span", "identifier", F.round("score", 6).alias("score"))
+
+
+def combined(s: SparkSession, d: str) -> DataFrame:
+    """Best matches of spans by surface and by vectors together."""
+    known = a.compiled_entries(table(s, d, "entries"), public(s, d))
+    found = known_spans(s, d)
+    both = a.surface_matches(found, known, a.Options()).unionByName(a.semantic_matches(found, table(s, d, "semantic_dict_16"), hash_embedder(64), 0.45))
+    return a.best_matches(both, False).select("span", "dictionary_id", "identifier", F.round("score", 6).alias("score"))
+
+
+def overlapping(s: SparkSession, d: str) -> DataFrame:
+    """Denotations before resolution that begin within one before them, by a running maximum of ends instead of a join."""
+    found = _steps(ordered)(s, d)
+    before = Window.partitionBy("doc_id").orderBy("begin", F.desc("end"), "obj").rowsBetween(Window.unboundedPreceding, -1)
+    return found.withColumn("reach", F.max("end").over(before)).where("begin < reach").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def crossing(s: SparkSession, d: str) -> DataFrame:
+    """Neighbouring tokens with a sentence break between them, per document."""
+    both = docs(s, d).where("text IS NOT NULL").select("doc_id", tokenize("text").alias("t"), sentence_breaks("text").alias("breaks"))
+    ends = F.transform(F.slice("t", F.lit(2), F.size("t")), lambda x, i: F.struct(F.get("t", i)["begin"].alias("b"), x["end"].alias("e")))
+    crossed = F.filter(ends, lambda p: F.exists("breaks", lambda x: (x > p["b"]) & (x < p["e"])))
+    return both.where(F.size("t") > 1).select("doc_id", F.size(crossed).alias("n"))
+
+
+QUERIES |= {
+    "ann_tokens": lambda s, d: docs(s, d).select("doc_id", F.inline(tokenize("text"))).select("doc_id", "begin", "end", "token"),
+    "ann_embed": lambda s, d: known_spans(s, d).where(worth_embedding(F.col("span"))).select("span", hash_embedder(16)("span").alias("embedding")),
+    "ann_semantic": semantic,
+    "ann_combine": combined,
+    "ann_denotations": _steps(),
+    "ann_sort": _steps(ordered),
+    "srt_denotations": _steps(ordered),
+    "ann_consolidate": _steps(ordered, consolidated),
+    "ann_boundary": _steps(ordered, consolidated, without_crossings),
+    "ann_embedded": _steps(ordered, consolidated, without_crossings, without_embedded),
+    "ann_abbr_find": lambda s, d: annotated()(s, d).where("abbr_type IS NOT NULL").select("string", "obj", "abbr_type").distinct(),
+    "ann_abbr_emit": lambda s, d: annotated()(s, d).where("abbr_type IS NOT NULL").select("doc_id", "begin", "end", "obj", "abbr_type"),
+    "ann_reset": lambda s, d: annotated(a.Options(abbreviation=False))(s, d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")),
+    "join_interval_overlap": overlapping,
+    "fn_cross_sentence": crossing,
+}
 QUERIES |= {
     "op_annotation_batch": annotated(),
     "ann_superfluous": annotated(a.Options(longest=False, superfluous=True)),

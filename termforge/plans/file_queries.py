@@ -90,6 +90,21 @@ def json_results(s: SparkSession, d: str) -> DataFrame:
 add("snk_json_result", json_results)
 
 
+def zipped(s: SparkSession, d: str) -> DataFrame:
+    """The export of all modes as a ZIP, and what it holds."""
+    import zipfile
+
+    folder = new_path(s, "zip").removeprefix("file://")
+    header, lines = export.entry_lines(_clean_entries(s, d), table(s, d, "entry_tags"), table(s, d, "tags"))
+    with zipfile.ZipFile(export.write_zip("all entries", header, lines, folder)) as z:
+        name = z.namelist()[0]
+        with z.open(name) as f:
+            return s.createDataFrame([(name, sum(1 for _ in f))], "name string, n_lines long")
+
+
+add("snk_zip", zipped, """SELECT 'all_entries.csv' AS name, count(*) + 1 AS n_lines FROM entries WHERE NOT regexp_matches(label, '[\t\r\n"]') AND NOT regexp_matches(identifier, '[\t\r\n"]')""")
+
+
 # Steps of the annotator.
 def paren_levels(s: SparkSession, d: str) -> DataFrame:
     return docs(s, d).select("doc_id", F.inline(tokenize("text"))).where("level > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("level").alias("deepest"))

@@ -123,6 +123,10 @@ add(
     i AS (SELECT id, len(list_intersect(a, b)) AS i, len(a) AS a, len(b) AS b FROM f)
     SELECT id, round(i / sqrt(a * b), 6) AS cosine, round(i / least(a, b), 6) AS overlap, round(i / (a + b - i), 6) AS jaccard FROM i""",
 )
+_I = f"""WITH f AS (SELECT id, list_distinct({_TRI.format("norm1")}) AS a, list_distinct({_TRI.format("norm2")}) AS b FROM entries WHERE length(norm1) > 0 AND length(norm2) > 0),
+    i AS (SELECT id, len(list_intersect(a, b)) AS i, len(a) AS a, len(b) AS b FROM f)"""
+for _name, _sql in (("cosine", "i / sqrt(a * b)"), ("overlap", "i / least(a, b)"), ("jaccard", "i / (a + b - i)")):
+    add(f"fn_strsim_{_name}", lambda s, d, n=_name: features(s, d).select("id", n), f"{_I} SELECT id, round({_sql}, 6) AS {_name} FROM i")
 add("fn_filename", lambda s, d: table(s, d, "entries").select("id", udfs.filename(F.col("label")).alias("name")), r"SELECT id, regexp_replace(label, '[\s]+', '_', 'g') AS name FROM entries")
 add("fn_language_code", lambda s, d: dictionaries(s, d).select("id", "language"), "SELECT id, CASE lower(trim(language)) WHEN 'en' THEN 'eng' WHEN 'de' THEN 'deu' WHEN 'ja' THEN 'jpn' ELSE lower(trim(language)) END AS language FROM dictionaries")
 add(
@@ -134,11 +138,30 @@ add("fn_normalize1", lambda s, d: table(s, d, "entries").where("label IS NOT NUL
 add("fn_normalize2", lambda s, d: table(s, d, "entries").where("label IS NOT NULL").select("id", udfs.normalize2("label").alias("norm2")))
 add("fn_tokenize", lambda s, d: table(s, d, "documents").select("doc_id", F.inline(udfs.tokenize("text"))))
 add("fn_sentence_break", lambda s, d: table(s, d, "documents").select("doc_id", F.explode(udfs.sentence_breaks("text")).alias("at")))
+add("fn_normalize_ja", lambda s, d: _normalized(s, d, "jpn"))
+add("fn_normalize_str", lambda s, d: table(s, d, "entries").where("label IS NOT NULL").select("id", udfs.normalize_str("label").alias("label")))
+add("dml_mode_transitions", lambda s, d: _transitions(s, d), """SELECT id, CASE WHEN mode = 2 THEN 0 WHEN mode = 0 AND id % 2 = 0 THEN 1 WHEN mode = 0 THEN 2 WHEN mode = 6 THEN 1 ELSE mode END AS mode,
+    CASE WHEN mode = 2 OR mode = 6 OR (mode = 0 AND id % 2 = 0) THEN true WHEN mode = 0 THEN false ELSE searchable END AS searchable FROM entries""")
 add("fn_abbr_type", lambda s, d: _abbreviations(s, d))
 add("fn_decapitalize", lambda s, d: table(s, d, "entries").where("label IS NOT NULL").select("id", udfs.decapitalize("label").alias("label")))
 add("fn_simple_tokenize", lambda s, d: table(s, d, "entries").select("id", F.inline(udfs.simple_tokens("label"))))
 
 
+def _normalized(s: SparkSession, d: str, language: str) -> DataFrame:
+    """Norms of the labels of one language's dictionaries."""
+    ids = dictionaries(s, d).where(F.col("language") == language).select(F.col("id").alias("dictionary_id"))
+    e = table(s, d, "entries").where("label IS NOT NULL").join(ids, "dictionary_id", "left_semi")
+    return e.select("id", udfs.normalize1("label").alias("norm1"), udfs.normalize2("label").alias("norm2"))
+
+
+def _transitions(s: SparkSession, d: str) -> DataFrame:
+    """Gray entries to white and black, black ones back, expanded ones confirmed, each by the mode it had at first."""
+    e = table(s, d, "entries").select("id", "mode", "searchable")
+    ids = lambda c: e.where(c).select("id")
+    e1 = edits.cancel_black(edits.confirm(e, ids("mode = 6")), ids("mode = 2"))
+    return edits.turn_to_black(edits.turn_to_white(e1, ids("mode = 0 AND id % 2 = 0")), ids("mode = 0 AND id % 2 = 1"))
+
+
 def _abbreviations(s: SparkSession, d: str) -> DataFrame:
     """Each label against the initials of its own words and against its identifier."""
     e = table(s, d, "entries").where("label IS NOT NULL AND identifier IS NOT NULL AND label <> ''")
