@@ -104,10 +104,14 @@ def _q(s: str) -> str:
     return "(" + " || ".join(f"chr({ord(c)})" for c in s) + ")" if s else "''"
 
 
-def _alike_sql(c: str) -> str:
+def _mapped_sql(c: str) -> str:
     src, dst = lookalike.alike_map()
     gone = f"translate({c}, {_q(src[len(dst) :])}, '')"
-    return f"nfc_normalize(translate({gone}, {_q(src[: len(dst)])}, {_q(dst)}))"
+    return f"translate({gone}, {_q(src[: len(dst)])}, {_q(dst)})"
+
+
+def _alike_sql(c: str) -> str:
+    return f"nfc_normalize({_mapped_sql(c)})"
 
 
 _TERMS = """WITH t AS (
@@ -132,6 +136,10 @@ ORACLE = {
       k AS (SELECT id, dictionary_id, identifier, field, v, {_alike_sql("v")} AS look FROM r WHERE v IS NOT NULL)
       SELECT DISTINCT a.id AS id_a, b.id AS id_b, field FROM k a JOIN k b USING (dictionary_id, identifier, field, look)
       WHERE a.id < b.id AND a.v <> b.v""",
+    "p3_consistent": f"""WITH e AS (SELECT id, dictionary_id, identifier, label, {_alike_sql("label")} AS look, label <> {_mapped_sql("label")} AS changed FROM entries),
+      c AS (SELECT dictionary_id, identifier, look, min({{changed: changed, n: length(label), v: label}}).v AS v FROM e
+        WHERE dictionary_id IS NOT NULL AND identifier IS NOT NULL AND label IS NOT NULL GROUP BY 1, 2, 3)
+      SELECT id, label, coalesce(v, label) AS canonical FROM e LEFT JOIN c USING (dictionary_id, identifier, look)""",
     "p4_found": _COPIES + "SELECT first_id, id AS copy_id FROM g JOIN c USING (dictionary_id, lo, hi) WHERE id <> first_id",
     "p4_records": _COPIES + "SELECT first_id, copies FROM c",
 }
