@@ -7,10 +7,13 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: list[str] = []
+_shipped: set[str] = set()
 
 
 def local_session(cores: int | str = 8, **conf: str) -> SparkSession:
@@ -41,6 +44,21 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[0]
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the session's workers, once, so that they need no installation and no particular working folder."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    at = Path(tempfile.mkdtemp(prefix="termforge-code-")) / "termforge.zip"
+    atexit.register(shutil.rmtree, at.parent, ignore_errors=True)
+    with zipfile.ZipFile(at, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(at))
+    _shipped.add(sc.applicationId)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/termforge/{name}-{uuid.uuid4().hex[:12]}"
 
