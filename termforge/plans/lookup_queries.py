@@ -248,7 +248,7 @@ add(
     lambda s, d: ngram.similarity_join(asked(s, d), "norm2", table(s, d, "entries").where("mode IN (0, 1)"), "norm2", 0.85).select("left", "right", F.round("similarity", 6).alias("similarity")),
 )
 add("op_find_ids_ngram", lambda s, d: _ngram_ids(s, d))
-add("ngram_postings", lambda s, d: ngram.postings(table(s, d, "entries").where("mode IN (0, 1)"), "norm2"), f"SELECT norm2, len(g) AS n_grams, unnest(g) AS gram FROM (SELECT norm2, list_distinct({_TRI.format('norm2')}) AS g FROM (SELECT DISTINCT norm2 FROM entries WHERE mode IN (0, 1) AND length(norm2) > 0))")
+add("ngram_postings", lambda s, d: ngram.postings(table(s, d, "entries").where("mode IN (0, 1)"), "norm2"), f"SELECT norm2, CAST(len(g) AS INTEGER) AS n_grams, unnest(g) AS gram FROM (SELECT norm2, list_distinct({_TRI.format('norm2')}) AS g FROM (SELECT DISTINCT norm2 FROM entries WHERE mode IN (0, 1) AND length(norm2) > 0))")
 
 
 def _ngram_ids(s: SparkSession, d: str) -> DataFrame:
