@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -97,5 +98,6 @@ def term_counts(df: DataFrame, tokens: Column, max_terms: int = 200_000) -> Data
 
 def marked(counts: DataFrame, records: Column, rare_below: int = 3, common_above: float = 0.01) -> DataFrame:
     """Adds mark: `rare` below rare_below occurrences, `common` in more than common_above of all records, else null."""
-    mark = F.when(F.col("occurrences") < rare_below, "rare").when(F.col("records") > records * common_above, "common")
+    share = F.lit(Decimal(str(common_above)))  # exact, so that a term at the very border isn't misjudged
+    mark = F.when(F.col("occurrences") < rare_below, "rare").when(F.col("records") > records * share, "common")
     return counts.withColumn("mark", mark)
