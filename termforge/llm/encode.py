@@ -30,14 +30,18 @@ def tokenizer_folder() -> str:
     return str(Path(spec.origin).parent)
 
 
+@lru_cache(maxsize=4)
+def vocabulary(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
 @lru_cache(maxsize=4)
 def _encoder(path: str) -> Callable[[str], np.ndarray]:
     """One per Python worker."""
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    coding = tiktoken.Encoding(Path(path).stem, pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
+    coding = tiktoken.Encoding(Path(path).stem, pat_str=WORDS, mergeable_ranks=vocabulary(path), special_tokens={})
     return lambda text: coding.encode_to_numpy(text, disallowed_special=())
 
 
@@ -83,6 +87,24 @@ def join(left: str, left_ids: np.ndarray, right: str, right_ids: np.ndarray, enc
     return np.concatenate([left_ids[: len(left_ids) - drop_left], encode(tail + head), right_ids[drop_right:]])
 
 
+@lru_cache(maxsize=4)
+def _pieces(path: str) -> list[bytes]:
+    ranks = vocabulary(path)
+    out = [b""] * (max(ranks.values()) + 1)
+    for piece, n in ranks.items():
+        out[n] = piece
+    return out
+
+
+def decode_bytes(ids: list[int] | np.ndarray, path: str, leaf: int = 4096) -> bytes:
+    """Bytes of ids, concatenated up the tree of their halves; a character may be spread over tokens, so only the whole is text."""
+    if len(ids) <= leaf:
+        pieces = _pieces(path)
+        return b"".join(pieces[i] for i in ids)
+    half = len(ids) // 2
+    return decode_bytes(ids[:half], path, leaf) + decode_bytes(ids[half:], path, leaf)
+
+
 def _ids(path: str, leaf: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(path)

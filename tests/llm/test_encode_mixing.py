@@ -21,6 +21,13 @@ def test_tree_is_whole(encoder, text, leaf, window):
     assert np.array_equal(e.encode_text(text, encoder, leaf, window), whole)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.text(max_size=60), st.integers(1, 7))
+def test_round_trip(encoder, text, leaf):
+    path = f"{e.tokenizer_folder()}/byte_bpe_50k.tiktoken"
+    assert e.decode_bytes(e.encode_text(text, encoder, leaf), path, leaf) == text.encode()
+
+
 def test_ids_against_the_other_library(spark, data):
     from tokenizers import Tokenizer
 
