@@ -24,7 +24,7 @@ def find_dictionaries(dictionaries: DataFrame, names: list[str]) -> DataFrame:
     return found.orderBy("pos").drop("asked")
 
 
-def _scoped(entries: DataFrame, dictionaries: DataFrame) -> DataFrame:
+def scoped(entries: DataFrame, dictionaries: DataFrame) -> DataFrame:
     """Lookup scope: entries of the dictionaries that aren't black, with each dictionary's threshold and language."""
     d = dictionaries.select(F.col("id").alias("dictionary_id"), F.col("threshold").alias("own_threshold"), "language")
     e = without_black(entries).select(
@@ -35,7 +35,7 @@ def _scoped(entries: DataFrame, dictionaries: DataFrame) -> DataFrame:
 
 def match_exact(labels: DataFrame, entries: DataFrame, dictionaries: DataFrame) -> DataFrame:
     """Entries with the very label; score 1."""
-    e = _scoped(entries, dictionaries)
+    e = scoped(entries, dictionaries)
     m = labels.join(e, labels["label"] == e["entry_label"])
     return m.select(
         "label", "dictionary_id", "entry_id", "identifier", "entry_label", F.col("e1").alias("norm1"), F.col("e2").alias("norm2"), F.lit(1.0).alias("score"), F.lit("Surface").alias("search_type")
@@ -47,7 +47,7 @@ def match_soft(labels: DataFrame, entries: DataFrame, dictionaries: DataFrame, t
 
     labels: (label, norm1, norm2). Without a threshold each dictionary's own counts. Null norms match nothing.
     """
-    e = _scoped(entries, dictionaries).where("e2 IS NOT NULL AND e1 IS NOT NULL")
+    e = scoped(entries, dictionaries).where("e2 IS NOT NULL AND e1 IS NOT NULL")
     limit = F.lit(threshold) if threshold is not None else F.col("own_threshold")
     asked = labels.where("norm2 IS NOT NULL AND norm1 IS NOT NULL AND norm2 <> ''")
     if ngram:

@@ -174,7 +174,7 @@ add("join_norm2", lambda s, d: _norm2(s, d), f"WITH {_ASKED}, {_SCOPE} SELECT la
 
 
 def _norm2(s: SparkSession, d: str) -> DataFrame:
-    a, e = asked(s, d), lookup._scoped(table(s, d, "entries"), dictionaries(s, d))
+    a, e = asked(s, d), lookup.scoped(table(s, d, "entries"), dictionaries(s, d))
     return a.join(e, a["norm2"] == e["e2"]).select("label", "entry_id", "identifier")
 
 
@@ -230,6 +230,14 @@ def _ids_sql(ctes: str, source: str) -> str:
     g AS (SELECT label, string_agg(identifier, '|' ORDER BY rank) AS identifiers FROM f GROUP BY 1) SELECT label, coalesce(identifiers, '') AS identifiers FROM asked LEFT JOIN g USING (label)"""
 
 
+def _near_sql(strings: str, least: float = 0.85) -> str:
+    """Pairs of an asked norm and one of the strings by trigrams: counted over all shared trigrams, without any filter."""
+    grams = lambda source: f"SELECT v, len(g) AS n, unnest(g) AS gram FROM (SELECT v, list_distinct({_TRI.format('v')}) AS g FROM (SELECT DISTINCT v FROM ({source}) WHERE length(v) > 0))"
+    return f"""ga AS ({grams("SELECT norm2 AS v FROM asked")}), gb AS ({grams(strings)}),
+    gc AS (SELECT ga.v AS "left", gb.v AS "right", count(*) AS c, any_value(ga.n) AS na, any_value(gb.n) AS nb FROM ga JOIN gb USING (gram) GROUP BY 1, 2),
+    near AS (SELECT "left", "right", c / (na + nb - c) AS similarity FROM gc WHERE c / (na + nb - c) >= {least})"""
+
+
 add("op_find_ids", found(), _ids_sql(f"{_SOFT}, {_TOP}, t AS (SELECT * FROM top WHERE score = best)", "t"))
 add("op_find_ids_superfluous", found(superfluous=True), _ids_sql(_SOFT, "soft"))
 _EXACT = f"{_ASKED}, {_SCOPE}, x AS (SELECT *, CAST(1.0 AS DOUBLE) AS score FROM asked JOIN scope ON label = entry_label)"
@@ -246,8 +254,17 @@ add(
 add(
     "join_ngram",
     lambda s, d: ngram.similarity_join(asked(s, d), "norm2", table(s, d, "entries").where("mode IN (0, 1)"), "norm2", 0.85).select("left", "right", F.round("similarity", 6).alias("similarity")),
+    f"""WITH {_ASKED}, {_near_sql("SELECT norm2 AS v FROM entries WHERE mode IN (0, 1)")} SELECT "left", "right", round(similarity, 6) AS similarity FROM near""",
+)
+add(
+    "op_find_ids_ngram",
+    lambda s, d: _ngram_ids(s, d),
+    _ids_sql(
+        f"""{_ASKED}, {_SCOPE}, {_near_sql("SELECT e2 AS v FROM scope WHERE e1 IS NOT NULL")}, m AS (SELECT *, {_SCORE} AS score FROM asked JOIN near ON norm2 = "left"
+        JOIN scope ON e2 = "right" WHERE e1 IS NOT NULL AND norm1 IS NOT NULL), soft AS (SELECT * FROM m WHERE score >= 0.85), {_TOP}, t AS (SELECT * FROM top WHERE score = best)""",
+        "t",
+    ),
 )
-add("op_find_ids_ngram", lambda s, d: _ngram_ids(s, d))
 add("ngram_postings", lambda s, d: ngram.postings(table(s, d, "entries").where("mode IN (0, 1)"), "norm2"), f"SELECT norm2, CAST(len(g) AS INTEGER) AS n_grams, unnest(g) AS gram FROM (SELECT norm2, list_distinct({_TRI.format('norm2')}) AS g FROM (SELECT DISTINCT norm2 FROM entries WHERE mode IN (0, 1) AND length(norm2) > 0))")
 
 
