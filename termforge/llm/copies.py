@@ -52,10 +52,10 @@ class Ledger:
         return self.spark.table(self.version)
 
     def add(self, keys: DataFrame) -> None:
-        new = keys.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).repartition(self.buckets, "k1")
+        new = keys.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).repartition(self.buckets, *KEYS)
         total = new.select(*KEYS, F.col("n").alias("copies"), F.col("id").alias("first_id")) if self.version is None else self._sum(new)
         name = f"ledger_{uuid.uuid4().hex[:12]}"
-        total.write.bucketBy(self.buckets, "k1").option("path", new_path(self.spark, name)).saveAsTable(name)
+        total.write.bucketBy(self.buckets, *KEYS).option("path", new_path(self.spark, name)).saveAsTable(name)
         if self.version is not None:
             self.spark.sql(f"DROP TABLE {self.version}")
         self.version = name
