@@ -86,8 +86,8 @@ def similarity_join(left: DataFrame, left_col: str, right: DataFrame, right_col:
     fits = fits & (most >= (F.col("pa.n") + F.col("pb.n")) * (t / (1 + t)) - 1e-9 if measure == "jaccard" else most >= product * threshold - 1e-9)
     pairs = pa.alias("pa").join(pb.alias("pb"), F.col("pa.gram") == F.col("pb.gram")).where(fits)
     pairs = pairs.select(F.col("pa.v").alias("left"), F.col("pb.v").alias("right")).distinct()
-    x, y = a.select(F.col("v").alias("left"), F.col("g").alias("x")), b.select(F.col("v").alias("right"), F.col("g").alias("y"))
-    both = pairs.join(x, "left").join(y, "right")
+    x, y = (F.array_distinct(GRAMS[n](F.col(c))).alias(k) for c, k in (("left", "x"), ("right", "y")))
+    both = pairs.select("left", "right", x, y)  # what is left is few; its grams are made again rather than joined
     shared = F.size(F.array_intersect("x", "y"))
     sim = shared / (F.size("x") + F.size("y") - shared) if measure == "jaccard" else shared / F.sqrt(F.size("x").cast("double") * F.size("y"))
     return both.select("left", "right", sim.alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
