@@ -19,6 +19,7 @@ from termforge.session import written
 SIGNS = ["s1", "s2", "s3", "s4"]
 SHIFTS = (0, 12, 24, 36)
 LEAST_BITS = 1 << 20
+ASKED_BLOCK, ROW_BLOCK = 20_000, 60_000
 
 
 @dataclass(frozen=True)
@@ -265,9 +266,70 @@ def similar_pairs(reps: DataFrame, least: float, h: Hashing, k: int = 5) -> Data
     return both.mapInArrow(_similarity(h.dim, least), "a long, b long, similarity double")
 
 
-def neighbours(df: DataFrame, id_col: str, vec: str, k: int = 5, least: float = 0.82, hashing: Hashing | None = None) -> DataFrame:
+def _exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    x, y = x.astype(np.float64), y.astype(np.float64)
+    return (x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1))
+
+
+def _best_of_all(dim: int, k: int, asked_tile: int = 512, row_tile: int = 4096):
+    def run(key: tuple, asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"q": np.empty(0, np.int64), "c": np.empty(0, np.int64), "similarity": np.empty(0)})]
+        if len(asked) and len(rows):
+            x = np.frombuffer(b"".join(rows["vec"]), np.float32).reshape(-1, dim)
+            y = np.frombuffer(b"".join(asked["vec"]), np.float32).reshape(-1, dim)
+            ids, no = rows["id"].to_numpy(), asked["id"].to_numpy()
+            for at in range(0, len(y), asked_tile):
+                part, own = y[at : at + asked_tile], no[at : at + asked_tile]
+                q, r, sim = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+                least = np.full(len(part), -2, np.float32)
+                for row in range(0, len(x), row_tile):
+                    s = part @ x[row : row + row_tile].T
+                    if row == 0 and s.shape[1] > k:  # one more than k, as the vector itself may be there
+                        least = np.partition(s, -k - 1, axis=1)[:, -k - 1] - np.float32(1e-5)
+                    near = np.flatnonzero(s >= least[:, None])
+                    a, b = near // s.shape[1], near % s.shape[1] + row
+                    other = own[a] != ids[b]
+                    a, b = a[other], b[other]
+                    more = [_exact(part[a[i : i + 100_000]], x[b[i : i + 100_000]]) for i in range(0, len(a), 100_000)]
+                    q, r, sim = np.concatenate([q, a]), np.concatenate([r, b]), np.concatenate([sim, *more])
+                    order = np.lexsort((ids[r], -sim, q))
+                    q, r, sim = q[order], r[order], sim[order]
+                    rank = np.arange(len(q)) - np.searchsorted(q, q)
+                    q, r, sim, rank = (v[rank < k] for v in (q, r, sim, rank))
+                    full = rank == k - 1
+                    least[q[full]] = sim[full] - 1e-5
+                out.append(pd.DataFrame({"q": own[q], "c": ids[r], "similarity": sim}))
+        return pd.concat(out)
+
+    return run
+
+
+def nearest_of_all(reps: DataFrame, k: int, h: Hashing, asked_block: int | None = None, row_block: int | None = None) -> DataFrame:
+    """(q, c, similarity): the k most similar others of every one of the distinct vectors, exactly, however far they are.
+
+    Vectors are cut twice into blocks by a hash of the id, once as those that ask and once as those that are found; a task compares two
+    blocks by matrix products. Single precision only says which pairs may be among the k best; these are compared in double
+    precision, so a block gives k rows per vector whatever lies close together. Vectors are at length 1 in single precision, so places whose
+    similarities differ by some 1e-8 may change. The work grows as the square of the number of vectors.
+    """
+    n, cores = reps.count(), reps.sparkSession.sparkContext.defaultParallelism
+    qs = max(1, -(-n // (asked_block or ASKED_BLOCK)))
+    rs = max(-(-n // (row_block or ROW_BLOCK)), -(-cores // qs))
+    own = lambda c: F.col(c).alias(c)  # noqa: E731  both sides come from one table, and columns are told apart by their origin
+    part = lambda n, c: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(c)
+    every = lambda n, c: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(c)
+    asked = reps.select(own("id"), own("vec"), part(qs, "qb"), every(rs, "rb"))
+    rows = reps.select(own("id"), own("vec"), part(rs, "rb"), every(qs, "qb"))
+    parts = asked.groupBy("qb", "rb").cogroup(rows.groupBy("qb", "rb")).applyInPandas(_best_of_all(h.dim, k), "q long, c long, similarity double")
+    order = Window.partitionBy("q").orderBy(F.desc("similarity"), "c")
+    return parts.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
+
+
+def neighbours(df: DataFrame, id_col: str, vec: str, k: int = 5, least: float | None = 0.82, hashing: Hashing | None = None) -> DataFrame:
     """(id, neighbour, similarity): for every usable vector, the k most similar others among those of cosine `least` or more.
 
+    Without `least` (None) these are the k most similar others of all, found exactly by nearest_of_all(); what follows on hashing is of the bounded search.
+
     Equal vectors (at length 1) are hashed once, by their smallest id, and put back afterwards, so a group of copies is never paired up:
     in a group of more than k each member's neighbours are the k smallest ids of the others. Buckets in which very many vectors lie that
     are alike but not equal are searched in blocks (see crowded_pairs). Ties in similarity go to the smaller id.
@@ -288,8 +350,11 @@ def neighbours(df: DataFrame, id_col: str, vec: str, k: int = 5, least: float =
     inside = members.join(heads.select("rep", "heads"), "rep").select(
         "id", F.explode(F.slice(F.array_remove("heads", F.col("id")), 1, k)).alias("neighbour"), F.lit(1.0).alias("similarity")
     )
-    pairs = written(similar_pairs(reps, least, h, k), "pairs")
-    ways = pairs.select(F.col("a").alias("q"), F.col("b").alias("c"), "similarity").unionByName(pairs.select(F.col("b").alias("q"), F.col("a").alias("c"), "similarity"))
+    if least is None:
+        ways = written(nearest_of_all(reps, k, h), "nearest")
+    else:
+        pairs = written(similar_pairs(reps, least, h, k), "pairs")
+        ways = pairs.select(F.col("a").alias("q"), F.col("b").alias("c"), "similarity").unionByName(pairs.select(F.col("b").alias("q"), F.col("a").alias("c"), "similarity"))
     found = heads.select(F.col("rep").alias("c"), F.slice("heads", 1, k).alias("ids"))
     asked = heads.select(F.col("rep").alias("q"), F.col("n"), F.col("heads").alias("askers"))
     ways = ways.join(found, "c", "left").join(asked, "q", "left").where(F.coalesce("n", F.lit(1)) <= k)

@@ -49,14 +49,17 @@ def p4_records(spark: SparkSession, d: str) -> DataFrame:
     return _ledger(spark, d)[1].select("first_id", "copies")
 
 
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "entries").select("id", "embedding").unionByName(table(spark, d, "semantic_dict_16").select("id", "embedding"))
+
+
 def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    """The 5 most similar others of every usable vector of both tables, from cosine 0.82 on."""
-    both = table(spark, d, "entries").select("id", "embedding").unionByName(table(spark, d, "semantic_dict_16").select("id", "embedding"))
-    return neighbours.neighbours(both, "id", "embedding")
+    """The 5 most similar others of every usable vector of both tables, however far they are."""
+    return neighbours.neighbours(_vectors(spark, d), "id", "embedding", least=None)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    near = p5_neighbours(spark, d)
+    near = neighbours.neighbours(_vectors(spark, d), "id", "embedding", least=0.82)
     return near.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
 
 

@@ -79,3 +79,34 @@ def test_pairs_are_exact(spark):
     got = {(r.a, r.b): r.similarity for r in similar_pairs(reps, 0.82, Hashing(tables=4)).collect()}
     u = x / np.linalg.norm(x, axis=1)[:, None]
     assert all(s == pytest.approx(float(u[a] @ u[b]), abs=1e-5) for (a, b), s in got.items()) and got
+
+
+def test_every_vector_has_k_neighbours(spark, monkeypatch):
+    from termforge.llm import neighbours as module
+
+    monkeypatch.setattr(module, "ASKED_BLOCK", 200)
+    monkeypatch.setattr(module, "ROW_BLOCK", 150)
+    x = np.concatenate([clustered(300, 100, 0.35), np.random.default_rng(8).normal(size=(300, 64))])
+    ids = np.arange(1, len(x) + 1) * 3
+    got = [(r.id, r.neighbour) for r in neighbours(frame(spark, ids, x), "id", "embedding", least=None).collect()]
+    assert len(got) == 5 * len(x) and set(got) == brute(ids, x, least=-2)
+
+
+def test_whole_top_with_copies(spark):
+    a, b = [1.0] + [0.0] * 63, [0.1, 1.0] + [0.0] * 62
+    rows = [(i, a) for i in range(1, 9)] + [(50, b), (51, b), (52, [-1.0] + [0.0] * 63), (60, [0.0] * 64)]
+    got = {}
+    for r in neighbours(spark.createDataFrame(rows, "id long, embedding array<float>"), "id", "embedding", least=None).collect():
+        got.setdefault(r.id, set()).add(r.neighbour)
+    assert set(got) == {*range(1, 9), 50, 51, 52}
+    assert got[1] == {2, 3, 4, 5, 6} and got[8] == {1, 2, 3, 4, 5}
+    assert got[50] == {51, 1, 2, 3, 4} and got[51] == {50, 1, 2, 3, 4} and got[52] == {50, 51, 1, 2, 3}
+
+
+def test_whole_top_on_the_tables(spark, data):
+    from termforge.llm.queries import QUERIES
+
+    rows = [(r.id, r.embedding) for t in ("entries", "semantic_dict_16") for r in spark.read.parquet(f"{data}/{t}.parquet").select("id", "embedding").where("size(embedding) = 64").collect()]
+    n = sum(any(v) for _, v in rows)
+    got = QUERIES["p5_neighbours"](spark, data).groupBy("id").count().collect()
+    assert len(got) == n and {r["count"] for r in got} == {5}
