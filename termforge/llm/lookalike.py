@@ -48,6 +48,12 @@ def alike_map() -> tuple[str, str]:
     return "".join(pairs) + INVISIBLE, "".join(pairs.values())
 
 
+def tidy_map() -> tuple[str, str]:
+    """As alike_map(), but without letters and signs of other kinds: usual widths, ordinary spaces, nothing invisible."""
+    pairs = _widths() | dict.fromkeys(SPACES, " ")
+    return "".join(pairs) + INVISIBLE, "".join(pairs.values())
+
+
 def alike(c: Column) -> Column:
     """The text with look-alike characters, widths and spaces brought to one, and without what can't be seen; accents as they are."""
     return F.translate(c, *alike_map())
@@ -76,13 +82,13 @@ def consistent_classes(df: DataFrame, value: str, within: list[str]) -> DataFram
     """
     spark = df.sparkSession
     src, dst = alike_map()
-    cols = ", ".join(f"`{c}`" for c in within)
+    cols = "".join(f"`{c}`, " for c in within)
     given = " AND ".join([f"`{value}` IS NOT NULL", *(f"`{c}` IS NOT NULL" for c in within)])
     return spark.sql(
-        f"""SELECT {cols}, look, min(struct(plain, length(v) AS n, v)).v AS canonical, min(v) AS lo, max(v) AS hi
-        FROM (SELECT {cols}, `{value}` AS v, collate(translate(`{value}`, :src, :dst), 'UNICODE') AS look,
+        f"""SELECT {cols}look, min(struct(plain, length(v) AS n, v)).v AS canonical, min(v) AS lo, max(v) AS hi
+        FROM (SELECT {cols}`{value}` AS v, collate(translate(`{value}`, :src, :dst), 'UNICODE') AS look,
                      `{value}` <> translate(`{value}`, :src, :dst) AS plain FROM {{df}} WHERE {given})
-        GROUP BY {cols}, look""",
+        GROUP BY {cols}look""",
         args={"src": src, "dst": dst},
         df=df,
     )
@@ -99,6 +105,24 @@ def with_consistent(df: DataFrame, value: str, within: list[str], out: str = "ca
     return joined.select("d.*", F.coalesce(F.col("c.canonical"), F.col(f"d.{value}")).alias(out)).drop("__look")
 
 
+def with_one_form(df: DataFrame, value: str, out: str = "canonical") -> DataFrame:
+    """df's rows with the one form of all values of the whole table that look the same, so that equal-looking values come out equal.
+
+    The form is the canonical member of the class over all values, with usual widths and spaces, accents composed and nothing invisible, so
+    a value without a partner is put right too. A value of printable ASCII is its own form and only says which form others take; just the
+    distinct values beyond it are grouped. Null stays null.
+    """
+    beyond = F.coalesce(F.col(value).rlike(r"[^\t\n\r -~]"), F.lit(False))
+    odd = written(df.where(beyond).select(value).distinct(), "odd")
+    looks = odd.select(alike(F.col(value)).alias(value)).distinct()
+    plain = df.where(~beyond).select(value).join(looks, value, "left_semi").distinct()
+    classes = consistent_classes(odd.unionByName(plain), value, []).select("look", "canonical")
+    keyed = odd.withColumn("__look", F.collate(alike(F.col(value)), "UNICODE")).alias("d").join(classes.alias("c"), F.col("d.__look") == F.col("c.look"))
+    forms = keyed.select(F.col(f"d.{value}").alias("__value"), _composed(F.translate("c.canonical", *tidy_map())).alias(out))
+    put = df.where(beyond).join(forms, F.col(value) == F.col("__value")).drop("__value")
+    return put.unionByName(df.where(~beyond).withColumn(out, F.col(value)))
+
+
 def alike_pairs(df: DataFrame, id_col: str, fields: list[str], within: list[str]) -> DataFrame:
     """(id_a, id_b, field): rows that agree in `within` and whose values of a field are different strings that look the same.
 

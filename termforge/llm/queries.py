@@ -36,6 +36,12 @@ def p3_consistent(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.with_consistent(rows, "label", ["dictionary_id", "identifier"]).select("id", "label", "canonical")
 
 
+def p3_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Every entry's label, norm1 and norm2 with the one form of all values that look the same, whatever their entry and field."""
+    fields = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in ("label", "norm1", "norm2")])
+    return lookalike.with_one_form(table(spark, d, "entries").select("id", F.inline(fields)), "value")
+
+
 def _ledger(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return copies.ledger_of(table(spark, d, "entries"), "id", ["dictionary_id"], ["label", "identifier"], at="created_at")
 
@@ -90,6 +96,7 @@ QUERIES = {
     "p2_terms": p2_terms,
     "p3_found": p3_found,
     "p3_consistent": p3_consistent,
+    "p3_forms": p3_forms,
     "p4_found": p4_found,
     "p4_records": p4_records,
     "p5_found": p5_found,
@@ -117,6 +124,12 @@ def _alike_sql(c: str) -> str:
     return f"nfc_normalize({_mapped_sql(c)})"
 
 
+def _tidy_sql(c: str) -> str:
+    src, dst = lookalike.tidy_map()
+    gone = f"translate({c}, {_q(src[len(dst) :])}, '')"
+    return f"nfc_normalize(translate({gone}, {_q(src[: len(dst)])}, {_q(dst)}))"
+
+
 _TERMS = """WITH t AS (
     SELECT 'label' AS field, id, unnest(string_split(label, ' ')) AS term FROM entries
     UNION ALL SELECT 'no_term_words', id, unnest(no_term_words) FROM dictionaries),
@@ -143,6 +156,10 @@ ORACLE = {
       c AS (SELECT dictionary_id, identifier, look, min({{changed: changed, n: length(label), v: label}}).v AS v FROM e
         WHERE dictionary_id IS NOT NULL AND identifier IS NOT NULL AND label IS NOT NULL GROUP BY 1, 2, 3)
       SELECT id, label, coalesce(v, label) AS canonical FROM e LEFT JOIN c USING (dictionary_id, identifier, look)""",
+    "p3_forms": f"""WITH r AS (SELECT id, unnest(['label', 'norm1', 'norm2']) AS field, unnest([label, norm1, norm2]) AS value FROM entries),
+      k AS (SELECT id, field, value, {_alike_sql("value")} AS look, value <> {_mapped_sql("value")} AS changed FROM r),
+      c AS (SELECT look, min({{changed: changed, n: length(value), v: value}}).v AS v FROM k WHERE value IS NOT NULL GROUP BY look)
+      SELECT id, field, value, {_tidy_sql("v")} AS canonical FROM k LEFT JOIN c USING (look)""",
     "p4_found": _COPIES + "SELECT first_id, id AS copy_id FROM g JOIN c USING (dictionary_id, lo, hi) WHERE id <> first_id",
     "p4_records": _COPIES + "SELECT first_id, copies FROM c",
 }

@@ -4,7 +4,7 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from termforge.llm.copies import Ledger, copies, copy_keys, ledger_of
-from termforge.llm.lookalike import alike_map, alike_pairs, consistent, with_consistent
+from termforge.llm.lookalike import alike_map, alike_pairs, consistent, with_consistent, with_one_form
 
 SAME = [
     ("fever", "ｆｅｖｅｒ"), ("Zoé", "Zoé"), ("fever", "fe​ver﻿"), ("a b", "a b"), ("a b", "a b"), ("a b", "a　b"), ("scope", "ѕсоре"), ("HME", "ΗМЕ"),
@@ -52,6 +52,30 @@ def test_long_text(spark):
     assert found(entries(spark, [(1, "x", a), (1, "x", a.replace("o", "о"))])) == {(1, 2, "label")}
 
 
+def test_one_form_for_all_fields_and_groups(spark, tmp_path):
+    from termforge.llm.queries import QUERIES
+
+    rows = [
+        (1, 1, "x", "fever", "f\u0435ver", None), (2, 2, "y", "f\u0435ver", "so\u00adlo", "so\u200blo"), (3, None, None, "fe\u200bver", "\uff46ever", "Zoe\u0301"),
+        (4, 3, None, "Zo\u00e9", "\u0440\u043e\u0441\u0442", "\u0440\u043e\u0441\u200b\u0442"), (5, 1, "x", "Fever", "Zoe", "a\u00a0b"),
+    ]
+    spark.createDataFrame(rows, "id long, dictionary_id long, identifier string, label string, norm1 string, norm2 string").write.parquet(str(tmp_path / "entries.parquet"))
+    got = {(r.id, r.field): r.canonical for r in QUERIES["p3_forms"](spark, str(tmp_path)).collect()}
+    assert len(got) == 3 * len(rows) and got[1, "norm2"] is None
+    assert {got[k] for k in [(1, "label"), (1, "norm1"), (2, "label"), (3, "label"), (3, "norm1")]} == {"fever"}
+    assert got[2, "norm1"] == got[2, "norm2"] == "solo" and got[3, "norm2"] == got[4, "label"] == "Zo\u00e9"
+    assert got[4, "norm1"] == got[4, "norm2"] == "\u0440\u043e\u0441\u0442"
+    assert (got[5, "label"], got[5, "norm1"], got[5, "norm2"]) == ("Fever", "Zoe", "a b")
+
+
+def test_one_form_of_every_look(spark):
+    values = [v for p in [*SAME, *OTHER] for v in p]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
+    got = {r.i: r.canonical for r in with_one_form(df, "v").collect()}
+    n = 2 * len(SAME)
+    assert all(got[i] == got[i + 1] for i in range(0, n, 2)) and all(got[i] != got[i + 1] for i in range(n, len(values), 2))
+
+
 COPY = "id long, dictionary_id long, label string, identifier string, created_at timestamp_ntz, k1 string"
 
 
