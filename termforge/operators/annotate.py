@@ -157,6 +157,15 @@ def semantic_matches(spans: DataFrame, vectors: DataFrame, embed: Callable, thre
     return named.where("identifier IS NOT NULL").select("span", "norm1", "norm2", "dictionary_id", "identifier", "label", none.alias("e1"), none.alias("e2"), "score")
 
 
+def surface_and_semantic(found: DataFrame, semantic: DataFrame) -> DataFrame:
+    """Both kinds of matches; of a span that has semantic ones, one per identifier, surface before semantic and better before worse."""
+    span = ["span", "norm1", "norm2"]
+    both = found.withColumn("o", F.lit(0)).unionByName(semantic.withColumn("o", F.lit(1)))
+    order = Window.partitionBy(*span, "identifier").orderBy("o", F.desc("score"), "dictionary_id", "label")
+    both = both.withColumn("r", F.row_number().over(order)).withColumn("most", F.max("o").over(Window.partitionBy(*span)))
+    return both.where("r = 1 OR most = 0").drop("o", "r", "most")
+
+
 def best_matches(matches_: DataFrame, superfluous: bool) -> DataFrame:
     """Per span all matches, or those that tie for the best score."""
     if superfluous:
@@ -267,9 +276,7 @@ def annotate(
         more = semantic_matches(spans, vectors, embed, options.semantic_threshold)
         semantic = more if semantic is None else semantic.unionByName(more)
     if semantic is not None:
-        both = found.withColumn("o", F.lit(0)).unionByName(semantic.withColumn("o", F.lit(1)))
-        order = Window.partitionBy("span", "norm1", "norm2", "identifier").orderBy("o", F.desc("score"))
-        found = both.withColumn("r", F.row_number().over(order)).where("r = 1").drop("o", "r")
+        found = surface_and_semantic(found, semantic)
     where = ["span", "norm1", "norm2"]
     if contexts is None:
         found = best_matches(found, options.superfluous)

@@ -10,6 +10,7 @@ from termforge.functions.udfs import hash_embedder, sentence_breaks, tokenize, w
 from termforge.functions.vectors import usable
 from termforge.operators import annotate as a
 from termforge.plans.lookup_queries import dictionaries
+from termforge.session import written
 from termforge.sources.tables import table
 
 QUERIES: dict = {}
@@ -73,23 +74,22 @@ def _steps(*steps):
     return run
 
 
-def known_spans(s: SparkSession, d: str) -> DataFrame:
-    known = a.compiled_entries(table(s, d, "entries"), public(s, d))
-    return a.candidate_occurrences(docs(s, d), a.span_rules(public(s, d), a.Options()), known).select("span", "norm1", "norm2").distinct()
+def unique_spans(s: SparkSession, d: str) -> DataFrame:
+    """All distinct candidate spans, also those that no entry matches by surface."""
+    return spans(s, d).select("span", "norm1", "norm2").distinct()
 
 
 def semantic(s: SparkSession, d: str) -> DataFrame:
     """All candidate spans of all documents, embedded by the stand-in, against the vectors of dictionary 16."""
-    found = a.candidate_occurrences(docs(s, d), a.span_rules(public(s, d), a.Options())).select("span", "norm1", "norm2").distinct()
-    m = a.semantic_matches(found, table(s, d, "semantic_dict_16"), hash_embedder(64), 0.45)
+    m = a.semantic_matches(unique_spans(s, d), table(s, d, "semantic_dict_16"), hash_embedder(64), 0.45)
     return m.select("span", "identifier", F.round("score", 6).alias("score"))
 
 
 def combined(s: SparkSession, d: str) -> DataFrame:
-    """Best matches of spans by surface and by vectors together."""
+    """Best matches of all candidate spans by surface and by vectors together."""
     known = a.compiled_entries(table(s, d, "entries"), public(s, d))
-    found = known_spans(s, d)
-    both = a.surface_matches(found, known, a.Options()).unionByName(a.semantic_matches(found, table(s, d, "semantic_dict_16"), hash_embedder(64), 0.45))
+    found = written(unique_spans(s, d), "spans")
+    both = a.surface_and_semantic(a.surface_matches(found, known, a.Options()), a.semantic_matches(found, table(s, d, "semantic_dict_16"), hash_embedder(64), 0.45))
     return a.best_matches(both, False).select("span", "dictionary_id", "identifier", F.round("score", 6).alias("score"))
 
 
@@ -110,7 +110,7 @@ def crossing(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES |= {
     "ann_tokens": lambda s, d: docs(s, d).select("doc_id", F.inline(tokenize("text"))).select("doc_id", "begin", "end", "token"),
-    "ann_embed": lambda s, d: known_spans(s, d).where(worth_embedding(F.col("span"))).select("span", hash_embedder(16)("span").alias("embedding")),
+    "ann_embed": lambda s, d: unique_spans(s, d).select("span").distinct().where(worth_embedding(F.col("span"))).select("span", hash_embedder(16)("span").alias("embedding")),
     "ann_semantic": semantic,
     "ann_combine": combined,
     "ann_denotations": _steps(),

@@ -272,3 +272,25 @@ def test_stream(spark, tmp_path):
 def test_pages(spark):
     e = spark.range(1, 40)
     assert [r.id for r in filters.page(e.orderBy("id"), 2, 15).collect()] == list(range(16, 31)) and filters.page(e, 0).count() == 15
+
+
+def test_combined_and_embedded_spans(spark, data, tmp_path):
+    import os
+
+    from termforge.functions.udfs import hash_embedder
+    from termforge.plans.annotate_queries import QUERIES
+
+    for name in ("entries", "dictionaries"):
+        os.symlink(f"{data}/{name}.parquet", tmp_path / f"{name}.parquet")
+    labels = spark.read.parquet(f"{data}/entries.parquet").where("label RLIKE '^[a-z]{5,}( [a-z]{5,})?$'").select("label").distinct().orderBy("label").limit(60).collect()
+    text = ". ".join(["purple zebra", *(r.label for r in labels)]) + "."
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    surface = QUERIES["ann_surface"](spark, str(tmp_path)).orderBy(F.desc("score"), "span", "identifier").first()
+    named = [(1, "purple zebra", "ZEBRA"), (2, surface.span, surface.identifier)]
+    rows = spark.createDataFrame([(i, 16, x, o, True) for i, x, o in named], "id long, dictionary_id long, label string, identifier string, searchable boolean")
+    rows.withColumn("embedding", hash_embedder(64)("label")).write.parquet(str(tmp_path / "semantic_dict_16.parquet"))
+    got = [(r.span, r.identifier, r.dictionary_id) for r in QUERIES["ann_combine"](spark, str(tmp_path)).collect()]
+    assert ("purple zebra", "ZEBRA", 16) in got
+    assert sum(x[:2] == (surface.span, surface.identifier) for x in got) == 1
+    embedded = [r.span for r in QUERIES["ann_embed"](spark, str(tmp_path)).collect()]
+    assert "purple zebra" in embedded and len(set(embedded)) == len(embedded)
