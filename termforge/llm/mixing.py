@@ -15,17 +15,20 @@ from termforge.session import written
 def fill(lengths: list[int], counts: list[int], budget: int, reach: int = 16384) -> list[int]:
     """How many texts of each length to take so that their sizes add up to budget, or to the most below it that is found.
 
-    All but half of `reach` is taken in proportion to the counts, so the choice stays a fair picture of the source. What is left of the
-    budget is first reduced to about `reach` by taking further long texts, then filled by bounded-knapsack dynamic programming: counts are split into powers
+    All but half of `reach` is taken in proportion to the counts, so the choice stays a fair picture of the source: the part of a text by which a
+    length's share is rounded down is carried on to the next length, so lengths that occur once get their share too. What is left of the
+    budget, about `reach` or one text, is filled by bounded-knapsack dynamic programming: counts are split into powers
     of two, the reachable sums are the bits of one integer per step, and walking back over the steps gives the counts.
     """
     total = sum(n * c for n, c in zip(lengths, counts))
     if budget >= total:
         return list(counts)
     bulk = max(0, budget - reach // 2)
-    take = [c * bulk // total for c in counts]
-    left = budget - sum(n * t for n, t in zip(lengths, take))
     order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
+    take, carried = [0] * len(counts), 0
+    for i in order:  # from the longest down, rounding never takes more than bulk, and less by one text at most
+        take[i], carried = divmod(counts[i] * bulk + carried, total)
+    left = budget - sum(n * t for n, t in zip(lengths, take))
     for i in order:
         if left > reach and lengths[i] > 0:
             more = min(counts[i] - take[i], (left - reach) // lengths[i])

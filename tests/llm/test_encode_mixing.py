@@ -67,6 +67,23 @@ def test_fill_finds_exact_sums():
     assert sum(n * t for n, t in zip([7, 11, 3], m.fill([7, 11, 3], [5, 5, 5], 61))) == 61
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.dictionaries(st.integers(1, 3000), st.integers(1, 3), min_size=300, max_size=600), st.floats(0.05, 0.95))
+def test_fill_is_in_proportion(counts, share):
+    lengths, have, reach = list(counts), list(counts.values()), 3000
+    total = sum(n * c for n, c in counts.items())
+    budget = int(share * total)
+    take = m.fill(lengths, have, budget, reach)
+    bulk = max(0, budget - reach // 2) / total
+    rows = sorted(zip(lengths, have, take))
+    for at in range(0, len(rows), 50):  # all lengths give their share; only the last texts may come from anywhere
+        part = rows[at : at + 50]
+        least = sum(c for _, c, _ in part) * bulk
+        assert least - 1 < sum(t for _, _, t in part)
+    assert sum(t for _, _, t in rows) * 1.0 >= bulk * sum(have) - 1
+    assert budget - sum(n * t for n, _, t in rows) <= max(lengths)
+
+
 TARGETS = "source string, weight double, max_repeats int"
 
 
