@@ -140,10 +140,21 @@ def surface_matches(spans: DataFrame, known: DataFrame, options: Options) -> Dat
     return soft if options.threshold is not None else soft.unionByName(exact)
 
 
+def vectors_of(semantic: DataFrame, entries: DataFrame) -> DataFrame:
+    """Vectors of both tables in the columns of semantic_matches(): the semantic table, and entries of the dictionaries that have none.
+
+    No id has a vector in both. Entries are found by their vectors whether searchable or not, and 5 a dictionary instead of 10.
+    """
+    cols = ["id", "dictionary_id", "label", "identifier", "searchable", "embedding"]
+    own = semantic.select("dictionary_id").distinct()
+    rest = entries.where("embedding IS NOT NULL AND dictionary_id IS NOT NULL").join(own, "dictionary_id", "left_anti")
+    return semantic.select(*cols, F.lit(10).alias("k")).unionByName(rest.withColumn("searchable", F.lit(True)).select(*cols, F.lit(5).alias("k")))
+
+
 def semantic_matches(spans: DataFrame, vectors: DataFrame, embed: Callable, threshold: float, k: int = 10) -> DataFrame:
-    """Matches in the columns of surface_matches(): of each span's k nearest searchable vectors those of similarity `threshold` or more.
+    """Matches in the columns of surface_matches(): of each span's k nearest searchable vectors of each dictionary those of similarity `threshold` or more.
 
-    vectors: (id, dictionary_id, label, identifier, searchable, embedding). Spans of fewer than three characters, or of digits and signs only,
+    vectors: (id, dictionary_id, label, identifier, searchable, embedding), and maybe k, where it is less for some dictionaries. Spans of fewer than three characters, or of digits and signs only,
     aren't embedded. embed is a column function such as an embedder of termforge.sources.embedder.
     """
     asked = spans.where(worth_embedding(F.col("span"))).withColumn("no", F.xxhash64("span", "norm1", "norm2")).withColumn("vec", embed("span"))
@@ -151,9 +162,11 @@ def semantic_matches(spans: DataFrame, vectors: DataFrame, embed: Callable, thre
     none = F.lit(None).cast("string")
     dim = F.size(F.col("embedding")) == (asked.agg(F.max(F.size("vec"))).first()[0] or 0)
     rows = vectors.where(F.col("searchable") & usable(F.col("embedding")) & dim)
-    near = exact_knn(asked.select("no", none.alias("grp"), "vec"), rows.select("id", none.alias("grp"), F.col("embedding").alias("vec")), k)
-    near = near.where(F.col("distance") <= 1 - threshold).select(F.col("query").alias("no"), "id", (1 - F.col("distance")).alias("score"))
-    named = near.join(rows.select("id", "dictionary_id", "label", "identifier"), "id").join(asked.select("no", "span", "norm1", "norm2"), "no")
+    per = F.coalesce("dictionary_id", F.lit(-1)).alias("per")
+    near = exact_knn(asked.select("no", none.alias("grp"), "vec"), rows.select("id", none.alias("grp"), F.col("embedding").alias("vec"), per), k, 1 - threshold)
+    near = near.select(F.col("query").alias("no"), "id", (1 - F.col("distance")).alias("score"), "rank")
+    fewer = F.col("k") if "k" in vectors.columns else F.lit(k)
+    named = near.join(rows.select("id", "dictionary_id", "label", "identifier", fewer.alias("k")), "id").where("rank <= k").join(asked.select("no", "span", "norm1", "norm2"), "no")
     return named.where("identifier IS NOT NULL").select("span", "norm1", "norm2", "dictionary_id", "identifier", "label", none.alias("e1"), none.alias("e2"), "score")
 
 

@@ -79,17 +79,21 @@ def unique_spans(s: SparkSession, d: str) -> DataFrame:
     return spans(s, d).select("span", "norm1", "norm2").distinct()
 
 
+def vectors(s: SparkSession, d: str) -> DataFrame:
+    return a.vectors_of(table(s, d, "semantic_dict_16"), table(s, d, "entries"))
+
+
 def semantic(s: SparkSession, d: str) -> DataFrame:
-    """All candidate spans of all documents, embedded by the stand-in, against the vectors of dictionary 16."""
-    m = a.semantic_matches(unique_spans(s, d), table(s, d, "semantic_dict_16"), hash_embedder(64), 0.45)
-    return m.select("span", "identifier", F.round("score", 6).alias("score"))
+    """All candidate spans of all documents, embedded by the stand-in, against the vectors of all dictionaries, one by one."""
+    m = a.semantic_matches(unique_spans(s, d), vectors(s, d), hash_embedder(64), 0.45)
+    return m.select("span", "dictionary_id", "identifier", F.round("score", 6).alias("score"))
 
 
 def combined(s: SparkSession, d: str) -> DataFrame:
     """Best matches of all candidate spans by surface and by vectors together."""
     known = a.compiled_entries(table(s, d, "entries"), public(s, d))
     found = written(unique_spans(s, d), "spans")
-    both = a.surface_and_semantic(a.surface_matches(found, known, a.Options()), a.semantic_matches(found, table(s, d, "semantic_dict_16"), hash_embedder(64), 0.45))
+    both = a.surface_and_semantic(a.surface_matches(found, known, a.Options()), a.semantic_matches(found, vectors(s, d), hash_embedder(64), 0.45))
     return a.best_matches(both, False).select("span", "dictionary_id", "identifier", F.round("score", 6).alias("score"))
 
 

@@ -89,6 +89,37 @@ add(
 add("join_knn_topk5", knn(5, 0.3), _knn_sql(5, before="list_cosine_distance(q, e) <= 0.3"))
 _TAGGED = "id IN (SELECT x.entry_id FROM entry_tags x JOIN tags t ON t.id = x.tag_id WHERE t.value IN ('Chemistry', 'medicine'))"
 add("join_knn_topk5_tags", knn(5, 0.5, True), _knn_sql(5, before=f"list_cosine_distance(q, e) <= 0.5 AND {_TAGGED}"))
+
+
+def knn_entries(most: float, tagged: bool = False):
+    """Dictionaries without a semantic table: the 5 nearest entries of each dictionary to every asked vector of both tables."""
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        rows = table(s, d, "entries").where(usable(F.col("embedding"), DIM)).select("id", "dictionary_id", "embedding")
+        both = rows.unionByName(semantic(s, d).where(usable(F.col("embedding"), DIM)).select("id", "dictionary_id", "embedding"))
+        none = F.lit(None).cast("string")
+        q = asked(s, d, both).select((-F.col("id")).alias("no"), none.alias("grp"), F.col("embedding").alias("vec"))
+        rows = rows.where("dictionary_id IS NOT NULL")
+        if tagged:
+            from termforge.operators.filters import with_any_tag
+
+            rows = with_any_tag(rows, table(s, d, "entry_tags"), table(s, d, "tags"), ["Chemistry", "medicine"])
+        found = exact_knn(q, rows.select("id", none.alias("grp"), F.col("embedding").alias("vec"), F.col("dictionary_id").alias("per")), 5, most)
+        return found.select((-F.col("query")).alias("query"), F.col("per").alias("dictionary_id"), "id", F.round("distance", 6).alias("distance"))
+
+    return run
+
+
+def _knn_entries_sql(before: str) -> str:
+    return f"""WITH v AS (SELECT id, dictionary_id, embedding::DOUBLE[] AS e FROM entries WHERE {_USABLE}),
+    a AS (SELECT id AS query, e AS q FROM v WHERE id % 20 = 0 UNION ALL SELECT id, embedding::DOUBLE[] FROM semantic_dict_16 WHERE id % 20 = 0 AND {_USABLE}),
+    p AS (SELECT query, dictionary_id, id, list_cosine_distance(q, e) AS distance FROM a, v WHERE dictionary_id IS NOT NULL AND {before}),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query, dictionary_id ORDER BY round(distance, 12), id) AS r FROM p)
+    SELECT query, dictionary_id, id, round(distance, 6) AS distance FROM r WHERE r <= 5"""
+
+
+add("join_knn_topk5_entries", knn_entries(0.3), _knn_entries_sql("list_cosine_distance(q, e) <= 0.3"))
+add("join_knn_topk5_entries_tags", knn_entries(0.5, True), _knn_entries_sql(f"list_cosine_distance(q, e) <= 0.5 AND {_TAGGED}"))
 add("lim_knn", knn(3, None), _knn_sql(3))
 add("op_batch_semantic", knn(10, None), _knn_sql(10))
 

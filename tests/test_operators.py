@@ -294,3 +294,23 @@ def test_combined_and_embedded_spans(spark, data, tmp_path):
     assert sum(x[:2] == (surface.span, surface.identifier) for x in got) == 1
     embedded = [r.span for r in QUERIES["ann_embed"](spark, str(tmp_path)).collect()]
     assert "purple zebra" in embedded and len(set(embedded)) == len(embedded)
+
+
+def test_semantic_matches_count_per_dictionary(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    axis = np.eye(8)[0]
+    rows = [(i, 1, f"a{i}", f"A{i}", True, (axis + 0.01 * rng.normal(size=8)).tolist()) for i in range(1, 31)]
+    rows += [(i, 2, f"b{i}", f"B{i}", True, (axis + 0.1 * rng.normal(size=8)).tolist()) for i in range(31, 35)]
+    rows += [(40, 1, "a40", "A40", False, axis.tolist()), (41, 2, "b41", "B41", True, np.eye(8)[1].tolist())]
+    vectors = spark.createDataFrame(rows, "id long, dictionary_id long, label string, identifier string, searchable boolean, embedding array<float>")
+    spans = spark.createDataFrame([("some span", "some span", "some span")], "span string, norm1 string, norm2 string")
+    embed = lambda c: F.array(*[F.lit(float(x)) for x in axis])
+    sims = {r[0]: np.dot(np.float32(r[5]), axis) / np.linalg.norm(np.float32(r[5])) for r in rows}
+    want = {f"A{i}" for i in sorted(range(1, 31), key=lambda i: -sims[i])[:10]} | {f"B{i}" for i in range(31, 35)}
+    assert {r.identifier for r in a.semantic_matches(spans, vectors, embed, 0.6).collect()} == want
+    semantic = vectors.where("dictionary_id = 1")
+    entries = vectors.withColumn("searchable", F.lit(False))
+    both = a.semantic_matches(spans, a.vectors_of(semantic, entries), embed, 0.6)
+    assert {r.identifier for r in both.collect()} == want
