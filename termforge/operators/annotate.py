@@ -131,6 +131,8 @@ def surface_matches(spans: DataFrame, known: DataFrame, options: Options) -> Dat
         return exact
     if options.use_ngram_similarity:
         least = options.threshold or 0.85
+        if options.threshold is None:  # each dictionary's own threshold decides afterwards
+            least = float(known.agg(F.coalesce(F.min("own_threshold"), F.lit(0.85))).first()[0])
         near = similarity_join(spans, "norm2", e, "e2", least).select(F.col("left").alias("norm2"), F.col("right").alias("e2"))
         m = spans.join(near, "norm2").join(e, "e2")
     else:

@@ -314,3 +314,9 @@ def test_semantic_matches_count_per_dictionary(spark):
     entries = vectors.withColumn("searchable", F.lit(False))
     both = a.semantic_matches(spans, a.vectors_of(semantic, entries), embed, 0.6)
     assert {r.identifier for r in both.collect()} == want
+
+
+def test_annotate_ngram_with_own_threshold(spark):
+    docs = spark.createDataFrame([(1, "Headachee")], "doc_id long, text string")
+    found = a.exploded(a.annotate(docs, entries(spark, CLINICAL), dictionary(spark, 0.4), a.Options(use_ngram_similarity=True))).collect()
+    assert [r.obj for r in found] == ["HP:0002315"]
