@@ -6,9 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, then) -> Column:
+    """then(value) with value evaluated once: as the variable of a lambda, not as copies of its expression."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _windows(s: Column, padded: Column, n: int) -> Column:
     """All substrings of length n of padded, one per character of s; an empty or null s has none."""
-    grams = F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.substring(padded, i, F.lit(n)))
+    grams = let(padded, lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - (n - 1)), lambda i: F.substring(p, i, F.lit(n))))
     return F.when(F.length(s) > 0, grams).otherwise(F.array().cast("array<string>"))
 
 
@@ -26,7 +31,7 @@ def circular_trigrams(s: Column) -> Column:
 
 def _let(a: Column, b: Column, then) -> Column:
     """then(a, b) with both evaluated once: as the variable of a lambda, not as copies of their expressions."""
-    return F.get(F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), lambda v: then(v["a"], v["b"])), F.lit(0))
+    return let(F.struct(a.alias("a"), b.alias("b")), lambda v: then(v["a"], v["b"]))
 
 
 def jaccard(a: Column, b: Column) -> Column:

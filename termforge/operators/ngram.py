@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termforge.functions.similarity import circular_bigrams, circular_trigrams, unigrams
+from termforge.functions.similarity import circular_bigrams, circular_trigrams, let, unigrams
 
 GRAMS = {1: unigrams, 2: circular_bigrams, 3: circular_trigrams}
 
@@ -84,10 +84,18 @@ def similarity_join(left: DataFrame, left_col: str, right: DataFrame, right_col:
     most = F.least(F.col("pa.n") - beyond("pa", "pb"), F.col("pb.n") - beyond("pb", "pa"))
     product = F.sqrt(F.col("pa.n").cast("double") * F.col("pb.n"))
     fits = fits & (most >= (F.col("pa.n") + F.col("pb.n")) * (t / (1 + t)) - 1e-9 if measure == "jaccard" else most >= product * threshold - 1e-9)
-    pairs = pa.alias("pa").join(pb.alias("pb"), F.col("pa.gram") == F.col("pb.gram")).where(fits)
-    pairs = pairs.select(F.col("pa.v").alias("left"), F.col("pb.v").alias("right")).distinct()
-    x, y = (F.array_distinct(GRAMS[n](F.col(c))).alias(k) for c, k in (("left", "x"), ("right", "y")))
-    both = pairs.select("left", "right", x, y)  # what is left is few; its grams are made again rather than joined
-    shared = F.size(F.array_intersect("x", "y"))
-    sim = shared / (F.size("x") + F.size("y") - shared) if measure == "jaccard" else shared / F.sqrt(F.size("x").cast("double") * F.size("y"))
-    return both.select("left", "right", sim.alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
+    met = pa.alias("pa").join(pb.alias("pb"), F.col("pa.gram") == F.col("pb.gram")).where(fits)
+    # the similarity hangs on the count of shared grams, so no rule can move the verification below this aggregate and into the join
+    pairs = met.groupBy(F.col("pa.v").alias("left"), F.col("pb.v").alias("right")).agg(F.count(F.lit(1)).alias("met"))
+    both = F.when(F.col("met") > 0, _similarity(F.array_distinct(GRAMS[n](F.col("left"))), F.array_distinct(GRAMS[n](F.col("right"))), measure))
+    return pairs.select("left", "right", both.alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
+
+
+def _similarity(x: Column, y: Column, measure: str) -> Column:
+    """Of two gram sets; both, and what they share, are evaluated once."""
+
+    def of(v: Column) -> Column:
+        a, b, shared = F.size(v["x"]), F.size(v["y"]), F.size(F.array_intersect(v["x"], v["y"]))
+        return let(shared, lambda c: c / (a + b - c) if measure == "jaccard" else c / F.sqrt(a.cast("double") * b))
+
+    return let(F.struct(x.alias("x"), y.alias("y")), of)
