@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -41,9 +41,13 @@ def jaccard(a: Column, b: Column) -> Column:
     )
 
 
+def _jaccard_of(grams, a: Column, b: Column) -> Column:
+    """jaccard() of the grams of two strings; equal strings need none."""
+    return F.when((a == b) & (F.length(a) > 0), F.lit(1.0)).otherwise(jaccard(grams(a), grams(b)))
+
+
 def _str_sim(grams, a: Column, b: Column, a1: Column, b1: Column, a2: Column, b2: Column) -> Column:
-    surface, one = jaccard(grams(a), grams(b)), jaccard(grams(a1), grams(b1))
-    two = jaccard(grams(a2), grams(b2))
+    surface, one, two = _jaccard_of(grams, a, b), _jaccard_of(grams, a1, b1), _jaccard_of(grams, a2, b2)
     return F.when((a2 == "") & (b2 == ""), (surface + one) / 2).otherwise((surface + one + two * 10) / 12)
 
 
@@ -85,6 +89,11 @@ def str_sim(language: Column, a: Column, b: Column, a1: Column, b1: Column, a2:
     )
 
 
+def scored(df: DataFrame, score: Column) -> DataFrame:
+    """df with a column `score`, evaluated once a row: as a generator's output, which no filter on it can pass on the way into a join."""
+    return df.select("*", F.explode(F.array(score)).alias("score"))
+
+
 def numbered_ngrams(s: Column, n: int = 4, both_ends: bool = True) -> Column:
     """Features of approximate string matching: n-grams of the string padded with U+0001, the k-th repeat of a gram marked #k."""
     pad = F.lit("\x01" * (n - 1))

@@ -46,6 +46,7 @@ class Token:
     closes: bool = False
 
 
+@lru_cache(maxsize=200_000)
 def norm2_of(folded: str) -> str:
     s = stem(folded)
     return "" if s in STOPS else s
@@ -66,6 +67,12 @@ def normalize2(text: str | None) -> str | None:
     return None if text is None else "".join(norm2_of(fold(m)) for m in TOKEN.findall(text))
 
 
+def norms(text: str) -> tuple[str, str]:
+    """normalize1() and normalize2() together."""
+    folded = [fold(m) for m in TOKEN.findall(text)]
+    return "".join(folded), "".join(map(norm2_of, folded))
+
+
 def sentence_breaks(text: str) -> list[int]:
     """Where sentences end: at white space between a lower-case letter or digit with a full stop and a capital, and at line feeds."""
     return [m.start(1) if m.group(1) is not None else m.start(2) for m in BREAK.finditer(text)]
@@ -88,6 +95,8 @@ class _Breaks:
 
 def add_levels(toks: list[Token], text: str, breaks: list[int]) -> None:
     """Depth of parentheses before each token, never below 0, starting anew after a sentence break; and whether one touches it."""
+    if "(" not in text and ")" not in text:
+        return
     b, level, end = _Breaks(breaks), 0, 0
     for i, t in enumerate(toks):
         if i and b.between(end, t.begin):

@@ -30,6 +30,13 @@ def normalize2(s: pd.Series) -> pd.Series:
     return s.map(kernels.normalize2, na_action="ignore")
 
 
+@F.pandas_udf(StructType([StructField("norm1", StringType()), StructField("norm2", StringType())]))
+def norms(s: pd.Series) -> pd.DataFrame:
+    """Both norms of a string, whose words are found once; null stays null."""
+    both = [(None, None) if t is None else kernels.norms(t) for t in s]
+    return pd.DataFrame(both, columns=["norm1", "norm2"], dtype=object)
+
+
 def _tokens(text: str | None) -> list[dict] | None:
     if text is None:
         return None

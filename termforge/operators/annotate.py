@@ -13,8 +13,8 @@ from termforge.functions import text as kernels
 from termforge.functions.abbreviations import local_abbreviations
 from termforge.functions.patterns import matches
 from termforge.functions.resolve import Denotation, merged, resolve
-from termforge.functions.similarity import str_sim
-from termforge.functions.udfs import normalize1, normalize2, worth_embedding
+from termforge.functions.similarity import scored, str_sim
+from termforge.functions.udfs import norms, worth_embedding
 from termforge.functions.vectors import usable
 from termforge.operators.bitmap import may_hold, string_bitmap
 from termforge.operators.filters import with_any_tag, without_black
@@ -45,8 +45,9 @@ def compiled_entries(entries: DataFrame, dictionaries: DataFrame) -> DataFrame:
     d = dictionaries.select(F.col("id").alias("dictionary_id"), F.col("threshold").alias("own_threshold"), "language")
     e = without_black(entries).where("label IS NOT NULL AND identifier IS NOT NULL").select("dictionary_id", "label", "identifier")
     e = e.join(d, "dictionary_id").dropDuplicates(["dictionary_id", "label", "identifier"])
-    labels = e.select("label").distinct().select("label", normalize1("label").alias("norm1"), normalize2("label").alias("norm2"))
-    return e.join(labels, "label")
+    # a fixed number of partitions: finding the words of labels costs far more than their size tells
+    labels = e.select("label").distinct().repartition(entries.sparkSession.sparkContext.defaultParallelism, "label")
+    return e.join(labels.select("label", norms("label").alias("n")).select("label", "n.*"), "label")
 
 
 def span_rules(dictionaries: DataFrame, options: Options) -> kernels.SpanRules:
@@ -74,16 +75,18 @@ def _parsed(text: str) -> tuple[list[kernels.Token], list[int]]:
     return toks, breaks
 
 
-def _spans(rules: kernels.SpanRules, bitmap):
+def _spans(rules: kernels.SpanRules, bitmap, by_label: bool = False):
+    by_norm = bitmap is not None and not by_label
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, bool] = {}
 
-        def wanted(norm2: str) -> bool:
-            known = seen.get(norm2)
+        def wanted(key: str) -> bool:
+            known = seen.get(key)
             if known is None:
                 if len(seen) > 500_000:
                     seen.clear()
-                known = seen[norm2] = may_hold(bitmap.value, norm2)
+                known = seen[key] = may_hold(bitmap.value, key)
             return known
 
         for b in batches:
@@ -92,8 +95,10 @@ def _spans(rules: kernels.SpanRules, bitmap):
                 if not t:
                     continue
                 toks, breaks = _parsed(t)
-                for s in kernels.candidate_spans(toks, breaks, rules, None if bitmap is None else wanted):
-                    rows.append((doc, s.begin, s.end, t[s.begin : s.end], s.norm1, s.norm2))
+                for s in kernels.candidate_spans(toks, breaks, rules, wanted if by_norm else None):
+                    span = t[s.begin : s.end]
+                    if not by_label or wanted(span):
+                        rows.append((doc, s.begin, s.end, span, s.norm1, s.norm2))
                 if len(rows) > 50_000:
                     yield _batch(rows)
                     rows = []
@@ -108,14 +113,15 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "begin", "end", "span", "norm1", "norm2"])
 
 
-def candidate_occurrences(docs: DataFrame, rules: kernels.SpanRules, known: DataFrame | None = None) -> DataFrame:
+def candidate_occurrences(docs: DataFrame, rules: kernels.SpanRules, known: DataFrame | None = None, by_label: bool = False) -> DataFrame:
     """(doc_id, begin, end, span, norm1, norm2) of the spans that may be terms.
 
-    docs: (doc_id, text). known: a table with norm2; spans whose norm2 it can't hold never leave their task, by a bitmap of fixed size.
+    docs: (doc_id, text). known: a table with norm2 and label; spans whose norm2, or with by_label whose text, it can't hold never leave
+    their task, by a bitmap of fixed size.
     """
-    bitmap = None if known is None else docs.sparkSession.sparkContext.broadcast(string_bitmap(known, "norm2"))
+    bitmap = None if known is None else docs.sparkSession.sparkContext.broadcast(string_bitmap(known, "label" if by_label else "norm2"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return spread(docs, "doc_id").mapInArrow(_spans(rules, bitmap), OCCURRENCE)
+    return spread(docs, "doc_id").mapInArrow(_spans(rules, bitmap, by_label), OCCURRENCE)
 
 
 def surface_matches(spans: DataFrame, known: DataFrame, options: Options) -> DataFrame:
@@ -138,7 +144,7 @@ def surface_matches(spans: DataFrame, known: DataFrame, options: Options) -> Dat
     else:
         m = spans.join(e, spans["norm2"] == e["e2"])
     score = str_sim(F.col("language"), F.col("span"), F.col("label"), F.col("norm1"), F.col("e1"), F.col("norm2"), F.col("e2"))
-    soft = m.withColumn("score", score).where((limit < 1) & (F.col("score") >= limit)).select(*out)
+    soft = scored(m.where(limit < 1), score).where(F.col("score") >= limit).select(*out)
     return soft if options.threshold is not None else soft.unionByName(exact)
 
 
@@ -263,6 +269,7 @@ def annotate(
     vectors: DataFrame | None = None,
     embed: Callable | None = None,
     choose: Chooser | None = None,
+    compiled: DataFrame | None = None,
 ) -> DataFrame:
     """(doc_id, denotations) of every text in which a term is found.
 
@@ -273,18 +280,19 @@ def annotate(
     contexts: (doc_id, dictionary_id) pairs from context_kept(); only those dictionaries annotate a text. semantic: further matches
     (span, norm1, norm2, dictionary_id, identifier, label, e1, e2, score), which yield to surface matches of the same identifier.
     tags: (values, entry_tags, tags) keeps entries with one of the values; off unless given. vectors and embed: with a semantic_threshold,
-    spans are embedded and searched as in semantic_matches(). choose takes the place of the steps that resolve overlaps. Null and empty
-    texts give no row.
+    spans are embedded and searched as in semantic_matches(). choose takes the place of the steps that resolve overlaps. compiled: a table
+    of compiled_entries() of these entries, made before; it isn't used with tags. Null and empty texts give no row.
     """
     options = options or Options()
     if tags:
         entries = with_any_tag(entries, tags[1], tags[2], tags[0])
-    known = written(compiled_entries(entries, dictionaries), "compiled")
+    known = written(compiled_entries(entries, dictionaries), "compiled") if compiled is None or tags else compiled
     rules = span_rules(dictionaries, options)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL AND text <> ''")
     by_vector = options.semantic_threshold is not None and options.semantic_threshold > 0 and vectors is not None and embed is not None
-    prune = not options.use_ngram_similarity and semantic is None and not by_vector and (options.threshold is None or options.threshold < 1)
-    occurrences = written(candidate_occurrences(docs, rules, known if prune else None), "occurrences")
+    exactly = options.threshold is not None and options.threshold >= 1
+    prune = semantic is None and not by_vector and (exactly or not options.use_ngram_similarity)
+    occurrences = written(candidate_occurrences(docs, rules, known if prune else None, exactly and prune), "occurrences")
     spans = occurrences.select("span", "norm1", "norm2").distinct()
     found = surface_matches(spans, known, options)
     if by_vector:

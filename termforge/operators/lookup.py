@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from termforge.functions.similarity import str_sim
+from termforge.functions.similarity import scored, str_sim
 from termforge.functions.vectors import cosine_distance, usable
 from termforge.operators.filters import with_any_tag, without_black
 from termforge.operators.ngram import similarity_join
+from termforge.session import spread
 
 MATCH = ["label", "dictionary_id", "entry_id", "identifier", "entry_label", "norm1", "norm2", "score", "search_type"]
 
@@ -47,7 +48,7 @@ def match_soft(labels: DataFrame, entries: DataFrame, dictionaries: DataFrame, t
 
     labels: (label, norm1, norm2). Without a threshold each dictionary's own counts. Null norms match nothing.
     """
-    e = scoped(entries, dictionaries).where("e2 IS NOT NULL AND e1 IS NOT NULL")
+    e = scoped(spread(without_black(entries), "id"), dictionaries).where("e2 IS NOT NULL AND e1 IS NOT NULL")
     limit = F.lit(threshold) if threshold is not None else F.col("own_threshold")
     asked = labels.where("norm2 IS NOT NULL AND norm1 IS NOT NULL AND norm2 <> ''")
     if ngram:
@@ -58,7 +59,7 @@ def match_soft(labels: DataFrame, entries: DataFrame, dictionaries: DataFrame, t
         m = asked.join(e, asked["norm2"] == e["e2"])
     language = F.col("language") if language_measure else F.lit("eng")
     score = str_sim(language, F.col("label"), F.col("entry_label"), F.col("norm1"), F.col("e1"), F.col("norm2"), F.col("e2"))
-    m = m.withColumn("score", score).where(F.col("score") >= limit)
+    m = scored(m, score).where(F.col("score") >= limit)
     return m.select("label", "dictionary_id", "entry_id", "identifier", "entry_label", F.col("e1").alias("norm1"), F.col("e2").alias("norm2"), "score", F.lit("Surface").alias("search_type"))
 
 
