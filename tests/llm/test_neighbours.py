@@ -1,7 +1,9 @@
 import numpy as np
 import pytest
 
-from termforge.llm.neighbours import Hashing, neighbours, probe_order, similar_pairs, unit_vectors
+from pyspark.sql import functions as F
+
+from termforge.llm.neighbours import SKETCH, Hashing, Planes, Round, _sketches_near, neighbours, probe_order, rounds, similar_pairs, unit_vectors
 
 
 def brute(ids, x, k=5, least=0.82):
@@ -110,3 +112,52 @@ def test_whole_top_on_the_tables(spark, data):
     n = sum(any(v) for _, v in rows)
     got = QUERIES["p5_neighbours"](spark, data).groupBy("id").count().collect()
     assert len(got) == n and {r["count"] for r in got} == {5}
+
+
+def pairs_of(df):
+    return {(r.a, r.b) for r in df.select("a", "b").collect()}
+
+
+def test_rounds_change_nothing(spark):
+    reps = unit_vectors(frame(spark, range(400), clustered(400, 60, 0.3)), "id", "embedding", 64).cache()
+    whole = pairs_of(similar_pairs(reps, 0.82, Hashing(tables=4, probes=40)))
+    assert whole
+    for bits in (1 << 15, 2400 * 20, 300 * 20):  # tables one by one, several together, and tables in parts
+        assert pairs_of(similar_pairs(reps, 0.82, Hashing(tables=4, probes=40, round_bits=bits))) == whole
+
+
+def test_rounds_hold_every_bucket_once():
+    h = Hashing()
+    assert rounds(h, 0) == [Round(tuple(range(12)), 0, 1)] and len(rounds(h, 10_000_000)) == 12
+    for n in (1_000, 1_300_000, 5_000_000, 13_000_000, 40_000_000):
+        rs = rounds(h, n)
+        keys = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 2000)
+        for t in range(h.tables):
+            seen = sum(np.isin(np.arange(2000), np.arange(2000)[r.holds(keys)]).astype(int) for r in rs if t in r.tables)
+            assert (seen == 1).all()
+        assert max(n * len(r.tables) / r.parts for r in rs) * 20 <= h.round_bits * 1.0001
+
+
+def test_equal_on_both_sides_of_crowded(spark):
+    rng = np.random.default_rng(11)
+    dense = [rng.normal(size=64) + 0.12 * rng.normal(size=(250, 64)) for _ in range(2)]
+    df = frame(spark, range(1, 801), np.concatenate([*dense, clustered(300, 100, 0.3)]))
+    best = lambda **kw: {(r.id, r.neighbour) for r in neighbours(df, "id", "embedding", hashing=Hashing(sketch_least=-1, **kw)).collect()}
+    plain, crowded = best(crowded=10**6), best(crowded=3, block=60)
+    assert len(plain) > 2000 and plain == crowded
+
+
+def test_sketch_passes_near_ones(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(20_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y = rng.normal(size=x.shape)
+    y -= (x * y).sum(1)[:, None] * x
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    planes = Planes(Hashing())
+    rows = [planes.sketch(v.astype(np.float32)) for v in (x, 0.82 * x + np.sqrt(1 - 0.82**2) * y, 0.5 * x + np.sqrt(0.75) * y)]
+    names = [f"{t}{c}" for t in "xyz" for c in SKETCH]
+    df = spark.createDataFrame([[int(v) for v in r] for r in np.concatenate(rows, 1)], ", ".join(f"{n} long" for n in names))
+    pair = df.select(*[F.struct(*[F.col(f"{t}{c}").alias(c) for c in SKETCH]).alias(t) for t in "xyz"])
+    near, far = (pair.where(_sketches_near("x", t, 0.566)).count() for t in "yz")
+    assert near >= 19_997 and far < 400
