@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: list[str] = []
 _shipped: set[str] = set()
+_tables: set[str] = set()
 
 
 def local_session(cores: int | str = 8, **conf: str) -> SparkSession:
@@ -34,10 +35,12 @@ def local_session(cores: int | str = 8, **conf: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a folder of our own where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a folder of our own if all tasks run on this machine, else an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share: intermediate tables go there")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="termforge-"))
         atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
@@ -79,12 +82,64 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
+def external_table(spark: SparkSession, name: str, columns: str, path: str, bucket_by: list[str], buckets: int) -> DataFrame:
+    """The bucketed Parquet files under a path as a table of this session's catalogue, which remove_intermediates() drops from it."""
+    if name not in _tables:
+        by = ", ".join(bucket_by)
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY ({by}) INTO {buckets} BUCKETS LOCATION '{path}'")
+        _tables.add(name)
+    return spark.table(name)
+
+
+def drop_table(spark: SparkSession, name: str) -> None:
+    """Forgets a table; its files stay."""
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    _tables.discard(name)
+
+
 def remove_intermediates(spark: SparkSession) -> None:
-    """Drops every intermediate table under the shared folder; call it when no lazy result needs them any more."""
-    at = shared_dir(spark) + "/termforge"
+    """Drops every intermediate table under the shared folder, and their entries in the catalogue; call it when no lazy result needs them any more."""
+    for name in list(_tables):
+        drop_table(spark, name)
+    remove(spark, shared_dir(spark) + "/termforge")
+
+
+def _fs(spark: SparkSession, path: str):
     jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at, jvm
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a file or folder of any file system that Spark reads; one that isn't there is no error."""
+    fs, at, _ = _fs(spark, path)
+    fs.delete(at, True)
+
+
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    fs, at, _ = _fs(spark, folder)
+    return sorted(x.getPath().getName() for x in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, at, jvm = _fs(spark, path)
+    stream = fs.open(at)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_new(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that appears whole under its name or not at all; a FileExistsError if the name is taken."""
+    fs, at, jvm = _fs(spark, path)
+    part = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex[:8]}.part")
+    stream = fs.create(part, True)
+    stream.write(text.encode())
+    stream.close()
+    if fs.exists(at) or not fs.rename(part, at):
+        fs.delete(part, False)
+        raise FileExistsError(path)
 
 
 def cpu_count() -> int:
