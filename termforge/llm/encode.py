@@ -18,8 +18,11 @@ from pyspark.sql import functions as F
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A place that is a word's end in whatever text it stands: no word holds a letter and then a non-letter, a digit and then a non-digit, or
 #: anything visible and then a space.
-SURE = regex.compile(r"(?<=\p{L})(?=\P{L})|(?<=\p{N})(?=\P{N})|(?<=\S)(?=\s)")
+SURE_PLACE = r"(?<=\p{L})(?=\P{L})|(?<=\p{N})(?=\P{N})|(?<=\S)(?=\s)"
+SURE, SURE_BACKWARDS = regex.compile(SURE_PLACE), regex.compile(f"(?r){SURE_PLACE}")
 EMPTY = np.empty(0, np.uint32)
+#: Characters of a leaf: a few sentences, so that most documents are joined from halves.
+LEAF = 512
 
 
 def tokenizer_folder() -> str:
@@ -42,16 +45,18 @@ def _encoder(path: str) -> Callable[[str], np.ndarray]:
     import tiktoken
 
     coding = tiktoken.Encoding(Path(path).stem, pat_str=WORDS, mergeable_ranks=vocabulary(path), special_tokens={})
-    return lambda text: coding.encode_to_numpy(text, disallowed_special=())
+    return lambda text: np.array(coding.encode_ordinary(text), np.uint32)
 
 
 def _last_sure(text: str, window: int) -> int:
     """Start of the window at the end of text: the last sure place, sought in ever longer tails."""
     while True:
         at = max(0, len(text) - window)
-        found = [m.start() for m in SURE.finditer(text, at) if m.start() > at]
-        if found or at == 0:
-            return found[-1] if found else 0
+        m = SURE_BACKWARDS.search(text, at)
+        if m and m.start() > at:
+            return m.start()
+        if at == 0:
+            return 0
         window *= 2
 
 
@@ -66,7 +71,7 @@ def _first_sure(text: str, window: int) -> int:
         window *= 2
 
 
-def encode_text(text: str, encode: Callable[[str], np.ndarray], leaf: int = 16384, window: int = 48) -> np.ndarray:
+def encode_text(text: str, encode: Callable[[str], np.ndarray], leaf: int = LEAF, window: int = 24) -> np.ndarray:
     """Ids of text as a tree: halves are encoded and joined, down to leaves of at most `leaf` characters.
 
     Ids form a monoid under join(): the ids of l + r are those of l without its last words, those of the window l[b:] + r[:e],
@@ -80,7 +85,7 @@ def encode_text(text: str, encode: Callable[[str], np.ndarray], leaf: int = 1638
     return join(left, encode_text(left, encode, leaf, window), right, encode_text(right, encode, leaf, window), encode, window)
 
 
-def join(left: str, left_ids: np.ndarray, right: str, right_ids: np.ndarray, encode: Callable[[str], np.ndarray], window: int = 48) -> np.ndarray:
+def join(left: str, left_ids: np.ndarray, right: str, right_ids: np.ndarray, encode: Callable[[str], np.ndarray], window: int = 24) -> np.ndarray:
     b, e = _last_sure(left, window), _first_sure(right, window)
     tail, head = left[b:], right[:e]
     drop_left, drop_right = len(encode(tail)) if tail else 0, len(encode(head)) if head else 0
@@ -111,13 +116,12 @@ def _ids(path: str, leaf: int, rows: int):
         for whole in batches:
             for at in range(0, whole.num_rows, rows):
                 b = whole.slice(at, rows)
-                parts, ends, null = [], [0], []
+                parts, ends = [], [0]
                 for t in b.column(1):
                     t = t.as_py()
                     ids = EMPTY if t is None else encode_text(t, encode, leaf)
                     parts.append(ids)
                     ends.append(ends[-1] + len(ids))
-                    null.append(t is None)
                 flat = np.concatenate(parts).astype(np.int32) if parts else np.empty(0, np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
                 yield pa.record_batch({"id": b.column(0), "ids": ids})
@@ -135,7 +139,7 @@ def _sizes(path: str, leaf: int):
     return run
 
 
-def token_ids(df: DataFrame, id_col: str, text: str, vocabulary: str | None = None, leaf: int = 16384, rows: int = 256) -> DataFrame:
+def token_ids(df: DataFrame, id_col: str, text: str, vocabulary: str | None = None, leaf: int = LEAF, rows: int = 256) -> DataFrame:
     """(id_col, ids): the ids of each text, without special tokens; one narrow pass, no shuffle.
 
     vocabulary is a file of ranks, by default byte_bpe_50k. Null and empty texts give an empty list; strings of special tokens in a text are
@@ -148,7 +152,7 @@ def token_ids(df: DataFrame, id_col: str, text: str, vocabulary: str | None = No
     return out.mapInArrow(_ids(path, leaf, rows), f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
-def with_token_count(df: DataFrame, keep: list[str], text: str, vocabulary: str | None = None, leaf: int = 16384) -> DataFrame:
+def with_token_count(df: DataFrame, keep: list[str], text: str, vocabulary: str | None = None, leaf: int = LEAF) -> DataFrame:
     """keep + tokens: the number of ids of each text, 0 for null and empty ones."""
     path = vocabulary or f"{tokenizer_folder()}/byte_bpe_50k.tiktoken"
     out = df.select(*keep, F.col(text).alias("__text"))
