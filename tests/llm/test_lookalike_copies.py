@@ -111,3 +111,75 @@ def test_ledger_takes_batches_and_hot_keys(spark):
         ledger.add(part)
     top = ledger.table().orderBy(F.desc("copies")).first()
     assert (top.copies, top.first_id) == (400, 1) and ledger.table().count() == 31
+
+
+def state(ledger):
+    return {(r.k1, r.k2): (r.copies, r.first_id) for r in ledger.table().collect()}
+
+
+def test_ledger_goes_on_in_another_process(spark, tmp_path):
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    df = copy_rows(spark, [(1, f"term {i % 40}", "C") for i in range(120)])
+    keys = copy_keys(df, "id", ["dictionary_id"], ["label", "identifier"])
+    keys.write.parquet(str(tmp_path / "keys"))
+    code = f"""if True:
+        from termforge.llm.copies import Ledger
+        from termforge.session import local_session
+        s = local_session(2)
+        first = Ledger(s, "{tmp_path}/ledger", buckets=6)
+        assert first.versions == [] and first.add(s.read.parquet("{tmp_path}/keys").where("id <= 50"), "monday")
+    """
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=str(Path(__file__).resolve().parents[2]), capture_output=True)
+    ledger = Ledger(spark, str(tmp_path / "ledger"))
+    assert ledger.versions == [1] and ledger.state["buckets"] == 6
+    assert not ledger.add(keys.where("id <= 50"), "monday") and ledger.add(keys.where("id > 50"), "tuesday")
+    whole = Ledger(spark, buckets=6)
+    whole.add(keys)
+    assert state(Ledger(spark, str(tmp_path / "ledger"))) == state(whole) and len(state(whole)) == 40
+
+
+def test_ledger_rewrites_touched_buckets_only(spark, tmp_path):
+    df = copy_rows(spark, [(1, f"term {i % 60}", "C") for i in range(180)])
+    keys = copy_keys(df, "id", ["dictionary_id"], ["label", "identifier"]).cache()
+    ledger = Ledger(spark, str(tmp_path / "l"), buckets=8)
+    ledger.add(keys.where("id <= 100"), "a")
+    (first,) = ledger.state["segments"]
+    one = keys.where("id > 100").orderBy("k1").limit(1)
+    ledger.add(one, "b")
+    touched = ledger.state["segments"]
+    assert len(touched) == 2 and len(touched[first]) == 7 and sum(map(len, touched.values())) == 8
+    ledger.add(keys.where("id > 100").join(one.select("id"), "id", "left_anti"), "c")
+    assert not ledger.add(keys, "b")
+    plain = {}
+    for r in keys.collect():
+        n, i = plain.get((r.k1, r.k2), (0, r.id))
+        plain[r.k1, r.k2] = (n + 1, min(i, r.id))
+    assert state(ledger) == plain
+
+
+def test_ledger_that_failed_has_changed_nothing(spark, tmp_path):
+    import pytest
+
+    keys = copy_keys(copy_rows(spark, [(1, f"term {i}", "C") for i in range(20)]), "id", ["dictionary_id"], ["label", "identifier"])
+    Ledger(spark, str(tmp_path / "l"), buckets=2).add(keys, "a")
+    before = state(Ledger(spark, str(tmp_path / "l")))
+    with pytest.raises(Exception, match="lost"):
+        Ledger(spark, str(tmp_path / "l")).add(keys.withColumn("id", F.raise_error(F.lit("lost")).cast("long")), "b")
+    again = Ledger(spark, str(tmp_path / "l"))
+    assert state(again) == before and again.state["batches"] == ["a"]
+    late = Ledger(spark, str(tmp_path / "l"))
+    again.add(keys, "b")
+    with pytest.raises(FileExistsError):
+        late.add(keys, "c")
+
+
+def test_hot_key_stays_spread(spark):
+    keyed = spark.range(1, 20_001).select("id", F.when(F.col("id") % 10 > 0, 7).otherwise(F.col("id")).alias("k1"), F.lit(1).cast("long").alias("k2")).repartition(8)
+    ledger = Ledger(spark, buckets=4)
+    ledger.add(keyed)
+    out = copies(keyed, ledger.table())
+    sizes = sorted(r["count"] for r in out.withColumn("p", F.spark_partition_id()).groupBy("p").count().collect())
+    assert sum(sizes) == 17_999 and len(sizes) >= 8 and sizes[-1] <= 3 * sizes[len(sizes) // 2]
