@@ -166,7 +166,7 @@ PAIRS = {
     "shift_jis": ["cp1252", "latin-1", "mac-roman"],
     "euc_jp": ["cp1252", "latin-1"],
 }
-STATES = [State(a, b) for a, bs in PAIRS.items() for b in bs] + [State("utf-8", "cp1252", 2), State("utf-8", "latin-1", 2), State("utf-8", "mac-roman", 2)]
+STATES = [State(a, b) for a, bs in PAIRS.items() for b in bs] + [State("utf-8", b, n) for b, n in (("cp1252", 2), ("latin-1", 2), ("mac-roman", 2), ("cp1252", 3), ("latin-1", 3))]
 ENTER_MULTI, ENTER_SINGLE, LEAVE, WRONG = 4.0, 5.0, 0.3, -9.0
 #: What a decoded character costs, and what it tells that several characters happen to make one.
 READ, GROUP = 0.15, 1.5
@@ -229,6 +229,8 @@ class Model:
         self.own = own
         self.bytes_of = {e: to_byte(e) for e in {s.seen for s in STATES}}
         self.chars_of = {e: from_byte(e) for e in {s.was for s in STATES} if e not in ("utf-8", "shift_jis", "euc_jp")}
+        self.legible = np.any([b >= 0x80 for b in self.bytes_of.values()], axis=0)
+        self.singles: dict[str, tuple] = {}
         self.pairs_of = {e: _double_table(e) for e in ("shift_jis", "euc_jp")}
 
     def classes(self, cp: np.ndarray) -> np.ndarray:
@@ -238,12 +240,28 @@ class Model:
         """Score of every character between its neighbours; cp begins and ends with a space."""
         k = self.classes(cp)
         s = np.zeros(len(cp), np.float32)
-        s[1:-1] = self.table[k[:-2], k[1:-1], k[2:]]
+        s[1:-1] = self._between(k[:-2], k[1:-1], k[2:])
         s += self.own[np.minimum(cp, 0xFFFF)]
         s[cp < 0x80] = 0
         s[cp >= 0x10000] = np.where((cp[cp >= 0x10000] >= 0x1F000) & (cp[cp >= 0x10000] < 0x1FB00), -0.5, -6.0)
         return s
 
+    def _between(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return self.table.ravel()[(a.astype(np.int32) * N + b) * N + c]
+
+    def _pairs(self, cp: np.ndarray, b: np.ndarray, was: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Characters of pairs of bytes; whether a pair begins here: pairs are taken from the left within each run; half-width kana are single."""
+        b1 = np.append(b[1:], -1)
+        char = self.pairs_of[was][np.where((b >= 0x80) & (b1 >= 0x40), b << 8 | b1, 0)]
+        at = np.flatnonzero((char > 0) & (cp >= 0x80))
+        keep, half = np.zeros(len(cp), bool), np.zeros(len(cp), bool)
+        if len(at):
+            opens = np.maximum.accumulate(np.where(np.r_[True, at[1:] != at[:-1] + 1], at, 0))
+            keep[at[(at - opens) % 2 == 0]] = True
+        if was == "shift_jis":
+            half = (b >= 0xA1) & (b < 0xE0) & ~keep & ~np.r_[False, keep[:-1]] & (cp >= 0x80)
+        return char, keep, half
+
     def decode(self, cp: np.ndarray, was: str, seen: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Text as it was: its characters, the position in cp where each begins, and whether it was decoded (else it stands as it is)."""
         b = np.where(cp < 0x10000, self.bytes_of[seen][np.minimum(cp, 0xFFFF)], -1).astype(np.int32)
@@ -252,10 +270,11 @@ class Model:
             ok = (b >= 0x80) & (cp >= 0x80)
             out = np.where(ok, self.chars_of[was][np.maximum(b, 0)], cp)
             return out.astype(np.int32), np.arange(n), ok & (out != 0xFFFD)
-        pad = np.concatenate([b, np.full(4, -1, np.int32)])
-        b1, b2, b3 = pad[1 : n + 1], pad[2 : n + 2], pad[3 : n + 3]
         size, value = np.ones(n, np.int32), cp.astype(np.int32).copy()
+        single = np.zeros(n, bool)
         if was == "utf-8":
+            pad = np.concatenate([b, np.full(4, -1, np.int32)])
+            b1, b2, b3 = pad[1 : n + 1], pad[2 : n + 2], pad[3 : n + 3]
             cont = lambda x: (x >= 0x80) & (x < 0xC0)
             two = (b >= 0xC2) & (b < 0xE0) & cont(b1)
             three = (b >= 0xE0) & (b < 0xF0) & cont(b1) & cont(b2)
@@ -267,27 +286,10 @@ class Model:
             for mask, v, k in ((two, (b & 31) << 6 | b1 & 63, 2), (three, v3, 3), (four, v4, 4)):
                 value[mask], size[mask] = v[mask], k
         else:
-            # a half-width kana is one byte; pairs are taken from the left within each run
-            char = self.pairs_of[was][np.where((b >= 0x80) & (b1 >= 0x40), b << 8 | b1, 0)]
-            start = (char > 0) & (cp >= 0x80)
-            at, last = np.flatnonzero(start), -2
-            keep = np.zeros(n, bool)
-            for i in at.tolist():
-                if i > last + 1:
-                    keep[i] = True
-                    last = i
+            char, keep, single = self._pairs(cp, b, was)
             value[keep], size[keep] = char[keep], 2
-            if was == "shift_jis":
-                covered = np.zeros(n + 1, bool)
-                covered[1:][keep] = True
-                half = (b >= 0xA1) & (b < 0xE0) & ~keep & ~covered[:n] & (cp >= 0x80)
-                value[half] = 0xFF61 + b[half] - 0xA1
-                size[half] = 1
-                done = keep | half
-                inside = covered[:n]
-                at = np.flatnonzero(~inside)
-                return value[at], at, done[at]
-        done = size > 1
+            value[single] = 0xFF61 + b[single] - 0xA1
+        done = (size > 1) | single
         inside = np.zeros(n + 4, bool)
         for k in (1, 2, 3):
             inside[np.flatnonzero(size > k) + k] = True
@@ -303,20 +305,57 @@ class Model:
             value, done, at = v2, d2 & (first > 0), at[a2]
         return value, at, done
 
-    def gains(self, cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Usualness as it stands, and per state what reading each character as that state tells adds: a group's score counts at its first character."""
+    def _readable(self, cp: np.ndarray, s: State) -> np.ndarray:
+        """Where a group of several characters may begin that the state's encoding can read, with what lies around it; nothing else needs decoding."""
+        b = self.bytes_of[s.seen][np.minimum(cp, 0xFFFF)]
+        after = np.append(b[1:], -1)
+        if s.was == "utf-8":
+            lead = (b >= 0xC2) & (b < 0xF5) & (after >= 0x80) & (after < 0xC0)
+        else:
+            lead = b >= 0x80
+        at, reach, n = np.flatnonzero(lead), 8 * s.times, len(cp)
+        around = np.bincount(np.maximum(at - reach, 0), minlength=n + 1) - np.bincount(np.minimum(at + reach + 1, n), minlength=n + 1)
+        return np.flatnonzero(np.cumsum(around[:n]) > 0)
+
+    def gains(self, cp: np.ndarray) -> np.ndarray:
+        """For every character beyond ASCII a row, a column per state: what reading it as that state tells adds to its usualness.
+
+        A group's score counts at its first character. cp begins and ends with a space.
+        """
         raw = self.usual(cp)
-        out = np.zeros((len(STATES), len(cp)), np.float32)
-        odd = cp >= 0x80
+        odd = np.flatnonzero(cp >= 0x80)
+        out = np.full((len(STATES), len(odd)), WRONG, np.float32)
+        if not len(odd):
+            return out.T
+        row = np.cumsum(cp >= 0x80) - 1
+        low, big = np.minimum(cp, 0xFFFF), cp >= 0x10000
         for i, s in enumerate(STATES):
-            value, at, done = self.restored(cp, s)
+            if s.was in self.chars_of:  # character by character
+                k, own, read = self._single(s)
+                ok = read[low[odd]] & ~big[odd]
+                k = np.where(big, ID["emoji"], k[low])
+                o = odd[ok]
+                out[i, ok] = self._between(k[o - 1], k[o], k[o + 1]) + own[low[o]] - raw[o] - READ
+                continue
+            part = self._readable(cp, s)
+            if not len(part):
+                continue
+            value, at, done = self.restored(cp[part], s)
             score = self.usual(value)
-            end = np.append(at[1:], len(cp))
-            gain = np.where(done, score - raw[at] - READ + GROUP * (end - at > 1), 0)
-            out[i, odd] = WRONG
-            out[i, at] = np.where(done, gain, np.where(odd[at], WRONG, 0))
+            end = np.append(at[1:], len(part))
+            gain = score - raw[part[at]] - READ + GROUP * (end - at > 1)
+            hit = done & (cp[part[at]] >= 0x80)
             covered = np.repeat(done, end - at)
-            first = np.zeros(len(cp), bool)
-            first[at] = True
-            out[i, covered & ~first] = -raw[covered & ~first]
-        return raw, out
+            covered[at] = False
+            covered &= cp[part] >= 0x80
+            out[i, row[part[covered]]] = -raw[part[covered]]
+            out[i, row[part[at[hit]]]] = gain[hit]
+        return np.ascontiguousarray(out.T)
+
+    def _single(self, s: State) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For a state of single bytes, by character: class and own score of what it stands for, and whether it stands for anything."""
+        if s.name not in self.singles:
+            every = np.arange(0x10000, dtype=np.int32)
+            value, _, done = self.decode(every, s.was, s.seen)
+            self.singles[s.name] = (self.cls[value], np.where(value < 0x80, 0, self.own[value]).astype(np.float32), done)
+        return self.singles[s.name]

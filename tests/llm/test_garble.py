@@ -1,4 +1,7 @@
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from termforge.llm import garble as g
 from termforge.llm.garble_model import CLASSES, STATES, to_byte
@@ -54,11 +57,63 @@ def test_japanese():
     assert g.examine([misread(t, "shift_jis", "latin-1")])[0][1] == t
 
 
-def test_long_texts_in_pieces():
+MIXED = CLEAN[:8] + [misread(t, w, s) for t in CLEAN[1:5] for w, s in (("utf-8", "cp1252"), ("utf-8", "koi8-r")) if "😀" not in t]
+MIXED += [misread(t, w, s) for t in ("ネスヒゲコの投与により有意に回復を示した。", "一方、回復した※参照。") for w, s in (("shift_jis", "latin-1"), ("euc_jp", "latin-1"))]
+MIXED += [misread("Через неделю лечение помогло", "cp1251", "latin-1"), "plain words only", "x" * 40, "\n\n", "ä" * 30]
+
+
+def plain_path(text):
+    """The best path over all characters beyond ASCII, one after another, without leaving any out."""
+    m, cp = g.model(), g.code_points([text])[0]
+    at, gain = np.flatnonzero(cp >= 0x80), m.gains(cp)
+    clean, v, back = 0.0, np.full(len(STATES), -1e9), []
+    for x in gain.astype(np.float64):
+        new = clean - g.ENTER
+        best = int(v.argmax())
+        out = v[best] - g.LEAVE
+        back.append((new > v, best if out > clean else -1))
+        v, clean = np.maximum(v, new) + x, max(clean, out)
+    now = int(v.argmax()) if len(at) and v.max() > clean else -1
+    states = []
+    for entered, left in reversed(back):
+        states.append(now)
+        now = (-1 if entered[now] else now) if now >= 0 else left
+    return {int(p) - 1: s for p, s in zip(at, reversed(states)) if s >= 0}
+
+
+def states_of(text, spans):
+    return {p: s for a, b, s in spans for p in range(a, b) if text[p] >= "\x80"}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(MIXED), max_size=6).map(" ".join), min_size=1, max_size=4))
+def test_leaving_out_what_is_surely_clean_changes_nothing(texts):
+    found = g.spans_of(texts)
+    assert [states_of(t, s) for t, s in zip(texts, found)] == [plain_path(t) for t in texts]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(MIXED), min_size=2, max_size=14).map("".join), st.sampled_from([40, 64, 150]), st.sampled_from([50, 400]))
+def test_pieces_are_the_whole(text, piece, block):
+    assert g.spans_of([text, "größer", text], piece, block) == g.spans_of([text, "größer", text])
+
+
+def test_long_texts():
     text = ("plain words and größere Nähe " * 8000) + misread("größere Nähe", "utf-8", "latin-1")
-    assert "".join(g.pieces(text)) == text and max(map(len, g.pieces(text))) <= g.PIECE
     assert g.examine([text])[0][1].endswith("größere Nähe") and g.examine(["ä" * 120_000])[0] is None
-    assert "".join(g.pieces("漢" * 120_001)) == "漢" * 120_001
+    long = "größere Nähe, " * 20_000
+    assert g.examine([misread(long, "utf-8", "cp1252")])[0][1] == long
+    ja = "一方投与により有意に回復を示した" * 6000  # no character that ends a piece
+    assert g.examine([misread(ja, "euc_jp", "latin-1")])[0][1] == ja
+
+
+def test_misread_many_times():
+    text = bad = "verstärkte größere Nähe, übrigens"
+    for n in range(1, 7):
+        bad = misread(bad, "utf-8", "cp1252")
+        assert g.examine([bad])[0] is not None
+        if n in (1, 2, 3, 6):
+            assert g.examine([bad])[0][1] == text
 
 
 def test_operator(spark):
