@@ -30,6 +30,12 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.alike_pairs(table(spark, d, "entries"), "id", ["label", "norm1", "norm2"], ["dictionary_id", "identifier"])
 
 
+def p3_members(spark: SparkSession, d: str) -> DataFrame:
+    """The links of p3_found in one row per value: its class and how many rows it is linked to."""
+    found = lookalike.alike_members(table(spark, d, "entries"), "id", ["label", "norm1", "norm2"], ["dictionary_id", "identifier"])
+    return found.select("id", "field", "class_id", "n_links")
+
+
 def p3_consistent(spark: SparkSession, d: str) -> DataFrame:
     """Every entry's label with the one form that stands for it within its dictionary and identifier."""
     rows = table(spark, d, "entries").select("id", "dictionary_id", "identifier", "label")
@@ -95,6 +101,7 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_terms": p2_terms,
     "p3_found": p3_found,
+    "p3_members": p3_members,
     "p3_consistent": p3_consistent,
     "p3_forms": p3_forms,
     "p4_found": p4_found,
@@ -114,8 +121,15 @@ def _q(s: str) -> str:
     return "(" + " || ".join(f"chr({ord(c)})" for c in s) + ")" if s else "''"
 
 
+def _spelled_sql(c: str) -> str:
+    for a, b in lookalike.several_map().items():
+        c = f"replace({c}, {_q(a)}, '{b}')"
+    return c
+
+
 def _mapped_sql(c: str) -> str:
     src, dst = lookalike.alike_map()
+    c = _spelled_sql(c)
     gone = f"translate({c}, {_q(src[len(dst) :])}, '')"
     return f"translate({gone}, {_q(src[: len(dst)])}, {_q(dst)})"
 
@@ -126,6 +140,7 @@ def _alike_sql(c: str) -> str:
 
 def _tidy_sql(c: str) -> str:
     src, dst = lookalike.tidy_map()
+    c = _spelled_sql(c)
     gone = f"translate({c}, {_q(src[len(dst) :])}, '')"
     return f"nfc_normalize(translate({gone}, {_q(src[: len(dst)])}, {_q(dst)}))"
 
@@ -152,6 +167,12 @@ ORACLE = {
       k AS (SELECT id, dictionary_id, identifier, field, v, {_alike_sql("v")} AS look FROM r WHERE v IS NOT NULL)
       SELECT DISTINCT a.id AS id_a, b.id AS id_b, field FROM k a JOIN k b USING (dictionary_id, identifier, field, look)
       WHERE a.id < b.id AND a.v <> b.v""",
+    "p3_members": f"""WITH r AS (SELECT id, dictionary_id, identifier, unnest(['label', 'norm1', 'norm2']) AS field, unnest([label, norm1, norm2]) AS v
+        FROM entries WHERE dictionary_id IS NOT NULL AND identifier IS NOT NULL),
+      k AS (SELECT id, dictionary_id, identifier, field, v, {_alike_sql("v")} AS look FROM r WHERE v IS NOT NULL),
+      n AS (SELECT id, field, min(id) OVER c AS class_id, count(*) OVER c - count(*) OVER (PARTITION BY dictionary_id, identifier, field, look, v) AS n_links FROM k
+        WINDOW c AS (PARTITION BY dictionary_id, identifier, field, look))
+      SELECT id, field, class_id, n_links FROM n WHERE n_links > 0""",
     "p3_consistent": f"""WITH e AS (SELECT id, dictionary_id, identifier, label, {_alike_sql("label")} AS look, label <> {_mapped_sql("label")} AS changed FROM entries),
       c AS (SELECT dictionary_id, identifier, look, min({{changed: changed, n: length(label), v: label}}).v AS v FROM e
         WHERE dictionary_id IS NOT NULL AND identifier IS NOT NULL AND label IS NOT NULL GROUP BY 1, 2, 3)

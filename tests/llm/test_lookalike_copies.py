@@ -4,7 +4,7 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from termforge.llm.copies import Ledger, copies, copy_keys, ledger_of
-from termforge.llm.lookalike import alike_map, alike_pairs, consistent, with_consistent, with_one_form
+from termforge.llm.lookalike import alike_map, alike_members, alike_pairs, consistent, with_consistent, with_one_form
 
 SAME = [
     ("fever", "ｆｅｖｅｒ"), ("Zoé", "Zoé"), ("fever", "fe​ver﻿"), ("a b", "a b"), ("a b", "a b"), ("a b", "a　b"), ("scope", "ѕсоре"), ("HME", "ΗМЕ"),
@@ -47,6 +47,19 @@ def test_groups_nulls_and_repeats(spark):
     assert all(got[i] == "fever" for i in alike) and got[9] is None and got[6] == "fеver" and len(got) == len(rows)
 
 
+def test_blocks_and_members_tell_the_same(spark):
+    df = entries(spark, [(1, "x", v) for v in ["fever"] * 9 + ["fеver"] * 7 + ["fe\u200bver"] * 2 + ["cold"] * 3] + [(1, "y", "ﬁt"), (1, "y", "fit")])
+    links = found(df)
+    assert len(links) == 9 * 7 + 9 * 2 + 7 * 2 + 1
+    for block in (2, 4):
+        got = alike_pairs(df, "id", ["label", "norm1", "norm2"], ["dictionary_id", "identifier"], block).collect()
+        assert len(got) == len(links) and {(r.id_a, r.id_b, r.field) for r in got} == links
+    members = alike_members(df, "id", ["label", "norm1", "norm2"], ["dictionary_id", "identifier"]).collect()
+    n = {r.id: r.n_links for r in members}
+    assert n == {i: sum(i in p[:2] for p in links) for i in n} and len(n) == 20
+    assert {r.id: r.class_id for r in members} == {i: 1 if i < 19 else 22 for i in n}
+
+
 def test_long_text(spark):
     a = "long text " * 5000
     assert found(entries(spark, [(1, "x", a), (1, "x", a.replace("o", "о"))])) == {(1, 2, "label")}
