@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -118,7 +120,9 @@ QUERIES = {
 
 def _q(s: str) -> str:
     """A DuckDB string of any characters."""
-    return "(" + " || ".join(f"chr({ord(c)})" for c in s) + ")" if s else "''"
+    runs = [(shown, "".join(cs)) for shown, cs in groupby(s, lambda c: c.isprintable() and c != "'")]
+    parts = [p for shown, run in runs for p in ([f"'{run}'"] if shown else [f"chr({ord(c)})" for c in run])]
+    return f"array_to_string([{', '.join(parts)}], '')" if parts else "''"
 
 
 def _spelled_sql(c: str) -> str:
