@@ -78,12 +78,6 @@ def simple_tokens(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else [{"piece": a, "begin": b, "end": e} for a, b, e in kernels.simple_tokens(t)])
 
 
-def normalize1_ascii(c: Column) -> Column:
-    """normalize1() of plain ASCII labels within the JVM: lower case, letters and digits only, inner points of words and numbers kept."""
-    kept = F.regexp_replace(F.lower(F.translate(c, "{}", "()")), r"(?<=[a-z])[.'](?=[a-z])|(?<=[0-9])[.,;'](?=[0-9])", "\x00$0")
-    return F.regexp_replace(F.regexp_replace(kept, r"(?<!\x00)[^a-z0-9_\x00]", ""), "\x00", "")
-
-
 def filename(c: Column) -> Column:
     return F.regexp_replace(c, r"\s+", "_")
 

@@ -92,7 +92,7 @@ class Cleaned:
     semantic: DataFrame  # with the flags after cleaning, or as given in a dry run
 
 
-def _with_flags(semantic: DataFrame, outliers: DataFrame, dry_run: bool) -> DataFrame:
+def with_flags(semantic: DataFrame, outliers: DataFrame, dry_run: bool) -> DataFrame:
     if dry_run:
         return semantic
     gone = outliers.select("id").distinct().withColumn("__out", F.lit(True))
@@ -115,15 +115,27 @@ def clean_two_stage(
         F.count_if(F.col("stage") == "local").alias("local_outliers"),
         F.count_distinct("id").alias("total_outliers"),
     )
-    return Cleaned(both, report, _with_flags(semantic, both, dry_run))
+    return Cleaned(both, report, with_flags(semantic, both, dry_run))
 
 
-def clean_by_origin(semantic: DataFrame, origins: DataFrame, dim: int, below: float = 0.75, dry_run: bool = True) -> Cleaned:
-    outliers = origin_outliers(searchable_vectors(semantic, dim), origins, below).select("id", F.lit("global").alias("stage"), "distance", "closest")
-    after = _with_flags(semantic, outliers, False)
-    before = origin_stats(searchable_vectors(semantic, dim), origins).select(F.col("avg_distance").alias("avg_before"), F.col("max_distance").alias("max_before"))
-    later = origin_stats(searchable_vectors(after, dim), origins).select(F.col("avg_distance").alias("avg_after"), F.col("max_distance").alias("max_after"))
-    report = outliers.agg(F.count(F.lit(1)).alias("n_outliers")).crossJoin(before).crossJoin(later)  # three single rows
+def clean_by_origin(semantic: DataFrame, origins: DataFrame, dim: int, below: float = 0.75, dry_run: bool = True, tested: Column | None = None) -> Cleaned:
+    """Outliers near the origin terms; marked unsearchable unless dry_run.
+
+    The report has how many there are and were searchable, and for the vectors before and after the distances to the common centroid and
+    the metrics of leave_one_out() for the rows that `tested` names, by default a seeded sample of 1,000. In a dry run `after` is what would be.
+    """
+    vectors = searchable_vectors(semantic, dim)
+    outliers = origin_outliers(vectors, origins, below).select("id", F.lit("global").alias("stage"), "distance", "closest")
+    after = with_flags(semantic, outliers, False)
+
+    def state(rows: DataFrame, when: str) -> DataFrame:
+        asked = sample(rows, 1000) if tested is None else rows.where(tested)
+        metrics = leave_one_out(rows, asked)[1]
+        both = centroid_stats(rows, dim).crossJoin(metrics)  # single rows
+        return both.select(*[F.col(c).alias(f"{c}_{when}") for c in both.columns])
+
+    n = outliers.agg(F.count(F.lit(1)).alias("n_outliers"))
+    report = n.crossJoin(state(vectors, "before")).crossJoin(state(searchable_vectors(after, dim), "after"))  # three single rows
     return Cleaned(outliers, report, semantic if dry_run else after)
 
 
@@ -144,7 +156,7 @@ def sample(df: DataFrame, n: int, seed: int = 1) -> DataFrame:
 def leave_one_out(vectors: DataFrame, asked: DataFrame, least: int = 2, k: int = 5) -> tuple[DataFrame, DataFrame]:
     """Per tested entry the rank of its first neighbour with the same identifier among k others, and the metrics over all.
 
-    Tested are the asked entries whose identifier has at least `least` searchable entries. Rank-1 and top-k accuracy in percent, rounded
+    Tested are the asked entries whose identifier has at least `least` searchable entries; total_searchable counts all vectors. Rank-1 and top-k accuracy in percent, rounded
     to 2; mean reciprocal rank, 0 where none is found, rounded to 4. Nothing to test gives zeros.
     """
     sizes = vectors.where("identifier IS NOT NULL").groupBy("identifier").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
@@ -158,6 +170,7 @@ def leave_one_out(vectors: DataFrame, asked: DataFrame, least: int = 2, k: int =
     hit = lambda most: F.coalesce(F.col("first_rank") <= most, F.lit(False))
     metrics = hits.agg(
         F.count(F.lit(1)).alias("total_tested"),
+        vectors.agg(F.count(F.lit(1))).scalar().alias("total_searchable"),
         rate(hit(1)).alias("rank1_accuracy"),
         rate(hit(k)).alias("top5_accuracy"),
         F.coalesce(F.round(F.avg(F.coalesce(F.lit(1.0) / F.col("first_rank"), F.lit(0.0))), 4), F.lit(0.0)).alias("mrr"),

@@ -23,15 +23,16 @@ def deduplicated(entries: DataFrame) -> DataFrame:
 def bulk_insert(existing: DataFrame, new: DataFrame, tags: DataFrame, dictionary_id: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """New entries, new tags and new entry tags of a load, to be appended.
 
-    new: (line_no, label, identifier, tags array, norm1, norm2). Keys that exist are skipped, the first of equal new keys wins with its
+    new: (line_no, label, identifier, tags array, norm1, norm2), and maybe file, by which lines are ordered first. Keys that exist are skipped, the first of equal new keys wins with its
     tags; entries are gray, clean and searchable. Ids go on from the largest there is, in the order of lines.
     """
-    first = F.row_number().over(Window.partitionBy("label", "identifier").orderBy("line_no"))
+    place = ["file", "line_no"] if "file" in new.columns else ["line_no"]
+    first = F.row_number().over(Window.partitionBy("label", "identifier").orderBy(*place))
     fresh = new.withColumn("r", first).where("r = 1").drop("r")
     old = existing.where(F.col("dictionary_id") == dictionary_id).select("label", "identifier")
     fresh = fresh.join(old, ["label", "identifier"], "left_anti")
     top = existing.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
-    entries = _numbered(fresh, "line_no").select(
+    entries = numbered(fresh, *place).select(
         (F.col("number") + top).alias("id"),
         F.lit(dictionary_id).cast("long").alias("dictionary_id"),
         "label",
@@ -47,16 +48,16 @@ def bulk_insert(existing: DataFrame, new: DataFrame, tags: DataFrame, dictionary
     here = tags.where(F.col("dictionary_id") == dictionary_id)
     values = entries.select(F.explode("tags").alias("value")).distinct().join(here.select("value"), "value", "left_anti")
     top_tag = tags.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
-    new_tags = _numbered(values, "value").select((F.col("number") + top_tag).alias("id"), F.lit(dictionary_id).cast("long").alias("dictionary_id"), "value")
+    new_tags = numbered(values, "value").select((F.col("number") + top_tag).alias("id"), F.lit(dictionary_id).cast("long").alias("dictionary_id"), "value")
     given = entries.select(F.col("id").alias("entry_id"), F.explode("tags").alias("value")).distinct()
     every = here.select("id", "value").unionByName(new_tags.select("id", "value"))
     return entries.drop("tags"), new_tags, given.join(every, "value").select("entry_id", F.col("id").alias("tag_id"))
 
 
-def _numbered(df: DataFrame, order: str) -> DataFrame:
-    """Consecutive numbers from 1 in the order of a column, without one task seeing all rows: sorted ranges, and their sizes added up."""
+def numbered(df: DataFrame, *order: str) -> DataFrame:
+    """Consecutive numbers from 1 in the order of columns, without one task seeing all rows: sorted ranges, and their sizes added up."""
     low = (1 << 33) - 1  # the row's place within its partition is the lower part of the generated id
-    ranged = df.repartitionByRange(F.col(order)).sortWithinPartitions(order)
+    ranged = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
     placed = written(ranged.select("*", F.spark_partition_id().alias("__p"), F.monotonically_increasing_id().bitwiseAND(low).alias("__i")), "numbered")
     sizes = placed.groupBy("__p").agg(F.count(F.lit(1)).alias("n"))
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)

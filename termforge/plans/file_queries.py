@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termforge.functions.udfs import normalize1, normalize2, tokenize
+from termforge.operators import dictionary_jobs
 from termforge.operators.annotate import Options, candidate_occurrences, compiled_entries, span_rules, surface_matches
+from termforge.plans import aggregate_queries
 from termforge.plans.annotate_queries import docs, public
+from termforge.plans.lookup_queries import _TRI
 from termforge.session import new_path
 from termforge.sources import entry_file, export
 from termforge.sources.tables import table
@@ -22,29 +25,66 @@ def add(name, run, sql: str | None = None) -> None:
         ORACLE[name] = sql
 
 
-def _clean(s: SparkSession, d: str) -> DataFrame:
-    """Entries whose label and identifier hold no line end or tab, with a tag list that the loader takes."""
-    e = table(s, d, "entries").where("NOT label rlike '[\t\r\n\"]' AND NOT identifier rlike '[\t\r\n\"]'")
-    return e.select("id", "label", "identifier", F.concat(F.lit("t"), (F.col("id") % 7).cast("string"), F.lit(",u")).alias("tags"))
+def lines_of(s: SparkSession, d: str) -> DataFrame:
+    """A line for every entry, in the forms that loaders meet: most with tabs, some as CSV, some with a fault, told by the id."""
+    flat = lambda c: F.translate(F.coalesce(c, F.lit("")), "\t\r\n", "   ")
+    e = table(s, d, "entries").select("id", flat("label").alias("l"), flat("identifier").alias("i"), (F.col("id") % 40).alias("k"))
+    tags = F.concat(F.lit("t"), (F.col("id") % 7).cast("string"), F.lit(",u"))
+    tabbed = lambda *c: F.concat_ws("\t", *c)
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    forms = [
+        F.concat(F.lit("# line "), F.col("id").cast("string")), F.concat(F.lit("lonely"), F.col("id").cast("string")), F.concat_ws(",", *[quoted(c) for c in (F.col("l"), F.col("i"), tags)]),
+        tabbed(F.rpad("l", 200, "x"), "i", tags), tabbed("l", F.rpad("i", 300, "y"), tags), tabbed("l", "i", tags, F.lit("x"), F.lit("y")), F.lit("  "),
+    ]
+    line = F.when(F.trim("l", F.lit(" \x0b\x0c")) == "", F.lit("#"))
+    for k, form in enumerate(forms):
+        line = line.when(F.col("k") == k, form)
+    return e.select(line.otherwise(tabbed("l", "i", tags)).alias("line"))
 
 
 def written_file(s: SparkSession, d: str) -> str:
-    """All such entries as a file of tab-separated lines, one file per task."""
+    """These lines as files, one per task."""
     path = new_path(s, "entry-file")
-    _clean(s, d).select(F.concat_ws("\t", "label", "identifier", "tags").alias("line")).write.text(path)
+    lines_of(s, d).write.text(path)
     return path
 
 
-_BASE = """WITH c AS (SELECT ltrim(label, ' ') AS label, identifier, 't' || id % 7 || ',u' AS tags FROM entries
-    WHERE NOT regexp_matches(label, '[\t\r\n"]') AND NOT regexp_matches(identifier, '[\t\r\n"]')),
-  g AS (SELECT * FROM c WHERE NOT starts_with(label, '#') AND length(label) BETWEEN 2 AND 127 AND length(identifier) BETWEEN 1 AND 255)"""
-add("src_entry_file", lambda s, d: entry_file.read_entries(s, written_file(s, d)).entries.select("label", "identifier"), f"{_BASE} SELECT label, identifier FROM g")
-add("src_tags_parse", lambda s, d: entry_file.read_entries(s, written_file(s, d)).entries.select("identifier", F.explode("tags").alias("tag")), f"{_BASE} SELECT identifier, unnest(string_split(tags, ',')) AS tag FROM g")
+_LINES = """WITH c AS (SELECT id % 40 AS k, translate(coalesce(label, ''), chr(9) || chr(13) || chr(10), '   ') AS l, translate(coalesce(identifier, ''), chr(9) || chr(13) || chr(10), '   ') AS identifier,
+    't' || id % 7 || ',u' AS tags FROM entries),
+  n AS (SELECT *, CASE WHEN k = 2 THEN l ELSE ltrim(l, ' ' || chr(11) || chr(12)) END AS label FROM c WHERE trim(l, ' ' || chr(11) || chr(12)) <> '' AND k NOT IN (0, 6)),
+  r AS (SELECT label, identifier, tags, CASE WHEN k <> 2 AND starts_with(label, '#') AND k <> 1 THEN 'skip' WHEN k = 1 THEN 'too few items' WHEN length(label) < 2 OR length(label) > 127 OR k = 3 THEN 'label length'
+    WHEN identifier = '' AND k <> 4 OR length(identifier) > 255 OR k = 4 THEN 'identifier length' END AS reason FROM n),
+  g AS (SELECT label, identifier, tags FROM r WHERE reason IS NULL)"""
+add("src_entry_file", lambda s, d: entry_file.read_entries(s, written_file(s, d)).entries.select("label", "identifier"), f"{_LINES} SELECT label, identifier FROM g")
+add("src_tags_parse", lambda s, d: entry_file.read_entries(s, written_file(s, d)).entries.select("identifier", F.explode("tags").alias("tag")), f"{_LINES} SELECT identifier, unnest(string_split(tags, ',')) AS tag FROM g")
 add(
-    "src_load_job",
+    "src_rejected_lines",
     lambda s, d: entry_file.read_entries(s, written_file(s, d)).rejected.groupBy("reason").agg(F.count(F.lit(1)).alias("n")),
+    f"{_LINES} SELECT reason, count(*) AS n FROM r WHERE reason <> 'skip' GROUP BY 1",
+)
+
+
+def load_job(s: SparkSession, d: str) -> DataFrame:
+    """All these lines loaded into dictionary 31, emptied before; what came in, and the figures of the report."""
+    e = table(s, d, "entries").where("dictionary_id <> 31 OR dictionary_id IS NULL")
+    out = dictionary_jobs.load(s, written_file(s, d), e, table(s, d, "tags"), 31)
+    figures = out.report.withColumn("n_reported", out.skipped.agg(F.count(F.lit(1))).scalar()).withColumn("n_tagged", out.entry_tags.agg(F.count(F.lit(1))).scalar())
+    stacked = figures.select(F.inline(F.array(*[F.struct(F.lit(c).alias("label"), F.lit("").alias("identifier"), F.col(c).cast("long").alias("n")) for c in figures.columns])))
+    return out.entries.select("label", "identifier", F.col("label_length").cast("long").alias("n")).unionByName(stacked)
+
+
+add(
+    "src_load_job",
+    load_job,
+    f"""{_LINES}, e AS (SELECT DISTINCT label, identifier, length(label) AS n FROM g), f AS (SELECT (SELECT count(*) FROM entries) AS n_lines, (SELECT count(*) FROM e) AS n_entries,
+    (SELECT count(*) FROM r WHERE reason <> 'skip') AS n_skipped, (SELECT least(100, count(*)) FROM r WHERE reason <> 'skip') AS n_reported, (SELECT 2 * count(*) FROM e) AS n_tagged)
+    SELECT label, identifier, n FROM e UNION ALL SELECT label, '', n FROM (UNPIVOT f ON n_lines, n_entries, n_skipped, n_reported, n_tagged INTO NAME label VALUE n)""",
+)
+add(
+    "src_skip_bad",
+    lambda s, d: entry_file.read_entries(s, written_file(s, d), max_tokens=3).rejected.where("reason = 'token_limit'").groupBy().agg(F.count(F.lit(1)).alias("n")),
+    rf"{_LINES} SELECT count(*) AS n FROM g WHERE len(regexp_split_to_array(label, '[ \t\n\x0b\f\r]+')) > 3",
 )
-add("src_skip_bad", lambda s, d: table(s, d, "documents").where(F.size(F.split("text", r"\s+")) > entry_file.MAX_TOKENS).select("doc_id"), r"SELECT doc_id FROM documents WHERE len(regexp_split_to_array(text, '\s+')) > 10000")
 add("src_batch_norm", lambda s, d: table(s, d, "entries").where("label IS NOT NULL").select("label").distinct().select("label", normalize1("label").alias("norm1"), normalize2("label").alias("norm2")))
 
 
@@ -52,30 +92,23 @@ def json_texts(s: SparkSession, d: str) -> DataFrame:
     """Documents written as JSON objects and read back as annotation targets."""
     path = new_path(s, "texts-json")
     docs(s, d).where("text IS NOT NULL").select("text").write.json(path)
-    return s.read.schema("text string").json(path).groupBy().agg(F.count("text").alias("n"), F.sum(F.length("text")).alias("chars"))
+    texts = entry_file.texts_from_json(s, path, lines=True)
+    return texts.groupBy().agg(F.count("text").alias("n"), F.sum(F.length("text")).alias("chars"), F.count_distinct("doc_id").alias("n_ids"), F.max("doc_id").alias("last_id"))
 
 
-add("src_http_text", json_texts, "SELECT count(text) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents")
+add("src_http_text", json_texts, "SELECT count(text) AS n, CAST(sum(length(text)) AS BIGINT) AS chars, count(text) AS n_ids, count(text) AS last_id FROM documents")
 
 
 def tsv_folder(s: SparkSession, d: str) -> DataFrame:
     """The export written by all tasks and read back."""
     path = new_path(s, "tsv")
-    header, lines = export.entry_lines(_clean_entries(s, d), table(s, d, "entry_tags"), table(s, d, "tags"))
+    header, lines = export.entry_lines(table(s, d, "entries"), table(s, d, "entry_tags"), table(s, d, "tags"))
     export.write_lines(header, lines, path)
-    return s.read.text(path).select(F.substring_index("value", "\t", 2).alias("line"))
-
+    back = s.read.schema("label string, identifier string, tags string").csv(path, sep="\t", quote='"', escape='"', multiLine=True, encoding="UTF-8")
+    return back.select("label", "identifier")
 
-def _clean_entries(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "entries").join(_clean(s, d).select("id"), "id", "left_semi")
 
-
-add(
-    "snk_tsv_files",
-    tsv_folder,
-    """SELECT label || chr(9) || identifier AS line FROM entries WHERE NOT regexp_matches(label, '[\t\r\n"]') AND NOT regexp_matches(identifier, '[\t\r\n"]')
-    UNION ALL SELECT '#label' || chr(9) || 'id'""",
-)
+add("snk_tsv_files", tsv_folder, "SELECT nullif(label, '') AS label, nullif(identifier, '') AS identifier FROM entries UNION ALL SELECT '#label', 'id'")
 
 
 def json_results(s: SparkSession, d: str) -> DataFrame:
@@ -92,17 +125,42 @@ add("snk_json_result", json_results)
 
 def zipped(s: SparkSession, d: str) -> DataFrame:
     """The export of all modes as a ZIP, and what it holds."""
+    import csv
+    import io
     import zipfile
 
     folder = new_path(s, "zip").removeprefix("file://")
-    header, lines = export.entry_lines(_clean_entries(s, d), table(s, d, "entry_tags"), table(s, d, "tags"))
+    header, lines = export.entry_lines(table(s, d, "entries"), table(s, d, "entry_tags"), table(s, d, "tags"))
     with zipfile.ZipFile(export.write_zip("all entries", header, lines, folder)) as z:
         name = z.namelist()[0]
         with z.open(name) as f:
-            return s.createDataFrame([(name, sum(1 for _ in f))], "name string, n_lines long")
+            n = sum(1 for _ in csv.reader(io.TextIOWrapper(f, "utf-8", newline=""), delimiter="\t"))
+            return s.createDataFrame([(name, n)], "name string, n_lines long")
+
+
+add("snk_zip", zipped, "SELECT 'all_entries.csv' AS name, count(*) + 1 AS n_lines FROM entries")
+
 
+def compiled(part: str):
+    """What compiling stores, read back."""
 
-add("snk_zip", zipped, """SELECT 'all_entries.csv' AS name, count(*) + 1 AS n_lines FROM entries WHERE NOT regexp_matches(label, '[\t\r\n"]') AND NOT regexp_matches(identifier, '[\t\r\n"]')""")
+    def run(s: SparkSession, d: str) -> DataFrame:
+        out = dictionary_jobs.compile_dictionaries(table(s, d, "entries"))
+        if part == "postings":
+            return out.postings
+        lists = [F.array_join(c, " ").alias(c) for c in ("no_term_words", "no_begin_words", "no_end_words")]
+        return out.stop_words.select("dictionary_id", *lists)
+
+    return run
+
+
+add(
+    "op_compile_index",
+    compiled("postings"),
+    f"""SELECT dictionary_id, norm2, CAST(len(g) AS INTEGER) AS n_grams, unnest(g) AS gram FROM (SELECT dictionary_id, norm2, list_distinct({_TRI.format("norm2")}) AS g
+    FROM (SELECT DISTINCT dictionary_id, norm2 FROM entries WHERE mode IN (0, 1) AND dictionary_id IS NOT NULL AND length(norm2) > 0))""",
+)
+add("op_compile_stop_words", compiled("stop_words"), aggregate_queries.ORACLE["agg_stopword_usage"])
 
 
 # Steps of the annotator.

@@ -129,11 +129,6 @@ for _name, _sql in (("cosine", "i / sqrt(a * b)"), ("overlap", "i / least(a, b)"
     add(f"fn_strsim_{_name}", lambda s, d, n=_name: features(s, d).select("id", n), f"{_I} SELECT id, round({_sql}, 6) AS {_name} FROM i")
 add("fn_filename", lambda s, d: table(s, d, "entries").select("id", udfs.filename(F.col("label")).alias("name")), r"SELECT id, regexp_replace(label, '[\s]+', '_', 'g') AS name FROM entries")
 add("fn_language_code", lambda s, d: dictionaries(s, d).select("id", "language"), "SELECT id, CASE lower(trim(language)) WHEN 'en' THEN 'eng' WHEN 'de' THEN 'deu' WHEN 'ja' THEN 'jpn' ELSE lower(trim(language)) END AS language FROM dictionaries")
-add(
-    "fn_normalize1_ascii",
-    lambda s, d: table(s, d, "entries").where(r"label rlike '^[A-Za-z0-9 -]+$'").select("id", udfs.normalize1_ascii(F.col("label")).alias("norm1")),
-    "SELECT id, regexp_replace(lower(label), '[^a-z0-9]', '', 'g') AS norm1 FROM entries WHERE regexp_full_match(label, '[A-Za-z0-9 -]+')",
-)
 add("fn_normalize1", lambda s, d: table(s, d, "entries").where("label IS NOT NULL").select("id", udfs.normalize1("label").alias("norm1")))
 add("fn_normalize2", lambda s, d: table(s, d, "entries").where("label IS NOT NULL").select("id", udfs.normalize2("label").alias("norm2")))
 add("fn_tokenize", lambda s, d: table(s, d, "documents").select("doc_id", F.inline(udfs.tokenize("text"))))
@@ -307,7 +302,7 @@ _NOW = _TAGGED.replace("entry_id IN", "id IN", 1)
 add("dml_searchable_by_tags", lambda s, d: by_tags(0)(s, d).select("id", "searchable"), f"SELECT id, {_NOW} AS searchable FROM entries")
 add("dml_searchable_by_tags_counts", by_tags(1), f"SELECT count(*) FILTER (searchable AND NOT {_NOW}) AS made_unsearchable, count(*) FILTER (NOT searchable AND {_NOW}) AS made_searchable FROM entries")
 add("dml_sync_semantic", lambda s, d: edits.sync_semantic(table(s, d, "semantic_dict_16"), table(s, d, "entries")).select("id", "label", "identifier", "searchable"), "SELECT id, e.label, e.identifier, e.searchable FROM semantic_dict_16 v JOIN entries e USING (id)")
-add("dml_ctas_semantic", lambda s, d: edits.semantic_table(table(s, d, "entries"), 31).select("id", "label", "searchable"), "SELECT id, label, searchable FROM entries WHERE dictionary_id = 31 AND embedding IS NOT NULL")
+add("dml_ctas_semantic", lambda s, d: edits.semantic_table(table(s, d, "entries"), 145).select("id", "label", "searchable"), "SELECT id, label, searchable FROM entries WHERE dictionary_id = 145 AND embedding IS NOT NULL")
 
 
 def upserted(s: SparkSession, d: str) -> DataFrame:

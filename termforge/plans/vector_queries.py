@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from termforge.functions.udfs import hash_embedder
 from termforge.functions.vectors import cosine_distance, usable
 from termforge.operators import analysis as an
-from termforge.operators import edits
+from termforge.operators import dictionary_jobs, edits
 from termforge.operators.knn import exact_knn
 from termforge.operators.lookup import semantic_single
 from termforge.sources.tables import table
@@ -16,6 +16,8 @@ from termforge.sources.tables import table
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 DIM, BELOW, LEAST = 64, 0.75, 3
+TAGS = ["pediatric", "Chemistry", "medicine"]
+TAGS_SQL = "('pediatric', 'Chemistry', 'medicine')"
 _USABLE = "len(embedding) = 64 AND list_max(list_transform(embedding, lambda x: abs(x))) > 0"
 _V = f"v AS (SELECT id, label, identifier, embedding::DOUBLE[] AS e FROM semantic_dict_16 WHERE searchable AND {_USABLE})"
 _ORIGIN = f"o AS (SELECT id, label, embedding::DOUBLE[] AS q, row_number() OVER (ORDER BY id) AS n FROM semantic_dict_16 WHERE {_USABLE} ORDER BY id LIMIT 2)"
@@ -55,7 +57,7 @@ def knn(k: int, most: float | None, tagged: bool = False):
         if tagged:
             from termforge.operators.filters import with_any_tag
 
-            rows = with_any_tag(rows, table(s, d, "entry_tags"), table(s, d, "tags"), ["Chemistry", "medicine"])
+            rows = with_any_tag(rows, table(s, d, "entry_tags"), table(s, d, "tags"), TAGS)
         none = F.lit(None).cast("string")
         q = asked(s, d).select((-F.col("id")).alias("no"), none.alias("grp"), F.col("embedding").alias("vec"))
         found = exact_knn(q, rows.select("id", none.alias("grp"), F.col("embedding").alias("vec")), k, most)
@@ -87,8 +89,8 @@ add(
     _knn_sql(10, after="round(distance, 6) <= 0.3"),
 )
 add("join_knn_topk5", knn(5, 0.3), _knn_sql(5, before="list_cosine_distance(q, e) <= 0.3"))
-_TAGGED = "id IN (SELECT x.entry_id FROM entry_tags x JOIN tags t ON t.id = x.tag_id WHERE t.value IN ('Chemistry', 'medicine'))"
-add("join_knn_topk5_tags", knn(5, 0.5, True), _knn_sql(5, before=f"list_cosine_distance(q, e) <= 0.5 AND {_TAGGED}"))
+_TAGGED = f"id IN (SELECT x.entry_id FROM entry_tags x JOIN tags t ON t.id = x.tag_id WHERE t.value IN {TAGS_SQL})"
+add("join_knn_topk5_tags", knn(5, 0.9, True), _knn_sql(5, before=f"list_cosine_distance(q, e) <= 0.9 AND {_TAGGED}"))
 
 
 def knn_entries(most: float, tagged: bool = False):
@@ -103,7 +105,7 @@ def knn_entries(most: float, tagged: bool = False):
         if tagged:
             from termforge.operators.filters import with_any_tag
 
-            rows = with_any_tag(rows, table(s, d, "entry_tags"), table(s, d, "tags"), ["Chemistry", "medicine"])
+            rows = with_any_tag(rows, table(s, d, "entry_tags"), table(s, d, "tags"), TAGS)
         found = exact_knn(q, rows.select("id", none.alias("grp"), F.col("embedding").alias("vec"), F.col("dictionary_id").alias("per")), 5, most)
         return found.select((-F.col("query")).alias("query"), F.col("per").alias("dictionary_id"), "id", F.round("distance", 6).alias("distance"))
 
@@ -183,11 +185,32 @@ add(
     lambda s, d: an.clean_two_stage(semantic(s, d), origins(s, d), DIM, BELOW, 1.2, LEAST, dry_run=False).semantic.select("id", "searchable"),
     f"{_FIRST} SELECT id, searchable AND id NOT IN (SELECT id FROM g UNION SELECT id FROM z WHERE z > 1.2) AS searchable FROM semantic_dict_16",
 )
+
+
+def _state_sql(rows: str, t: str) -> str:
+    """Distances to the centroid and leave-one-out metrics of the vectors in `rows`, as CTEs named with t, the last of which is x<t>."""
+    return f"""c{t} AS (SELECT {_CENTROID} AS c FROM {rows}), d{t} AS (SELECT list_cosine_distance(e, c) AS distance FROM {rows}, c{t}), s{t} AS (SELECT {_STATS} FROM d{t}),
+    n{t} AS (SELECT identifier FROM {rows} WHERE identifier IS NOT NULL GROUP BY 1 HAVING count(*) >= 2),
+    a{t} AS (SELECT id AS query, identifier AS own, e AS q FROM {rows} WHERE id % 20 = 0 AND identifier IN (SELECT identifier FROM n{t})),
+    r{t} AS (SELECT query, own, identifier, row_number() OVER (PARTITION BY query ORDER BY round(list_cosine_distance(q, e), 12), id) AS r FROM a{t}, {rows} WHERE id <> query),
+    h{t} AS (SELECT query, min(r) FILTER (identifier = own) AS first_rank FROM r{t} WHERE r <= 5 GROUP BY 1),
+    m{t} AS ({_METRICS.format(rows=rows)} FROM h{t}), x{t} AS (SELECT * FROM s{t}, m{t})"""
+
+
+_METRICS = """SELECT count(*) AS total_tested, (SELECT count(*) FROM {rows}) AS total_searchable, coalesce(round(avg(CASE WHEN first_rank = 1 THEN 1 ELSE 0 END) * 100, 2), 0) AS rank1_accuracy,
+    coalesce(round(avg(CASE WHEN first_rank <= 5 THEN 1 ELSE 0 END) * 100, 2), 0) AS top5_accuracy, coalesce(round(avg(coalesce(1.0 / first_rank, 0)), 4), 0) AS mrr"""
+_REPORT = ["avg_distance", "max_distance", "total_tested", "total_searchable", "rank1_accuracy", "top5_accuracy", "mrr"]
+
+
+def cleaned_by_origin(s: SparkSession, d: str) -> DataFrame:
+    return an.clean_by_origin(semantic(s, d), origins(s, d), DIM, BELOW, dry_run=False, tested=F.col("id") % 20 == 0).report
+
+
 add(
     "op_clean_origin",
-    lambda s, d: an.clean_by_origin(semantic(s, d), origins(s, d), DIM, BELOW, dry_run=False).report,
-    f"""WITH {_V}, {_ORIGIN}, {_NEAR} SELECT count(*) FILTER (distance < {BELOW}) AS n_outliers, round(avg(distance), 4) AS avg_before, round(max(distance), 4) AS max_before,
-    round(avg(distance) FILTER (NOT distance < {BELOW}), 4) AS avg_after, round(max(distance) FILTER (NOT distance < {BELOW}), 4) AS max_after FROM m""",
+    cleaned_by_origin,
+    f"""WITH {_V}, {_ORIGIN}, {_NEAR}, w AS (SELECT * FROM v WHERE id NOT IN (SELECT id FROM m WHERE distance < {BELOW})), {_state_sql("v", "1")}, {_state_sql("w", "2")}
+    SELECT (SELECT count(*) FROM m WHERE distance < {BELOW}) AS n_outliers, {", ".join(f"x{n}.{c} AS {c}_{t}" for n, t in ((1, "before"), (2, "after")) for c in _REPORT)} FROM x1, x2""",
 )
 
 
@@ -213,11 +236,13 @@ _LOO = f"""WITH {_V}, n AS (SELECT identifier FROM v WHERE identifier IS NOT NUL
     r AS (SELECT query, own, identifier, row_number() OVER (PARTITION BY query ORDER BY round(list_cosine_distance(q, e), 12), id) AS r FROM a, v WHERE id <> query),
     h AS (SELECT query, min(r) FILTER (identifier = own) AS first_rank FROM r WHERE r <= 5 GROUP BY 1)"""
 add("join_self_knn_loo", loo(0), f"{_LOO} SELECT query, CAST(first_rank AS INTEGER) AS first_rank FROM h")
-_METRICS = """SELECT count(*) AS total_tested, coalesce(round(avg(CASE WHEN first_rank = 1 THEN 1 ELSE 0 END) * 100, 2), 0) AS rank1_accuracy,
-    coalesce(round(avg(CASE WHEN first_rank <= 5 THEN 1 ELSE 0 END) * 100, 2), 0) AS top5_accuracy, coalesce(round(avg(coalesce(1.0 / first_rank, 0)), 4), 0) AS mrr FROM h"""
-add("agg_loo_metrics", loo(1), f"{_LOO} {_METRICS}")
-add("op_loo_validation", loo(1), f"{_LOO} {_METRICS}")
-add("smp_random", lambda s, d: an.sample(semantic(s, d), 100).select("id"))
+add("agg_loo_metrics", loo(1), f"{_LOO} {_METRICS.format(rows='v')} FROM h")
+add("op_loo_validation", loo(1), f"{_LOO} {_METRICS.format(rows='v')} FROM h")
+add(
+    "smp_random",
+    lambda s, d: an.sample(semantic(s, d), 100).join(semantic(s, d).select("id"), "id").groupBy().agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("n_ids")),
+    "SELECT least(100, count(*)) AS n, least(100, count(*)) AS n_ids FROM semantic_dict_16",
+)
 add("lim_sample", lambda s, d: an.origin_outliers(vectors(s, d), origins(s, d), BELOW, 10).select("id", F.round("distance", 6).alias("distance")), f"WITH {_V}, {_ORIGIN}, {_NEAR} SELECT id, round(distance, 6) AS distance FROM m WHERE distance < {BELOW} ORDER BY distance, id LIMIT 10")
 
 
@@ -237,12 +262,67 @@ add(
 )
 
 
+LETTERS = "aeinorst"
+
+
+def counted(c: str):
+    """An embedder that SQL can follow: how often each of eight letters occurs."""
+    low = F.lower(c)
+    return F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(x)))).cast("double") for x in LETTERS])
+
+
+def _counted_sql(c: str) -> str:
+    return "[" + ", ".join(f"CAST(length(lower({c})) - length(replace(lower({c}), '{x}', '')) AS DOUBLE)" for x in LETTERS) + "]"
+
+
+def embedding_job(s: SparkSession, d: str, **more) -> dictionary_jobs.Embedded:
+    return dictionary_jobs.update_embeddings(table(s, d, "entries"), semantic(s, d), 16, counted, len(LETTERS), **more)
+
+
 def embedded(s: SparkSession, d: str) -> DataFrame:
-    """Labels of all active entries embedded by the stand-in, and black ones unsearchable."""
-    e = edits.reset_searchable(table(s, d, "entries").where("label IS NOT NULL"))
-    return e.select("id", "searchable", hash_embedder(16)("label").alias("embedding"))
+    """The semantic table of dictionary 16 after all its labels were embedded anew: new vectors, kept ones, and flags."""
+    v = F.array_join(F.transform("embedding", lambda x: x.cast("int").cast("string")), " ")
+    return embedding_job(s, d).semantic.select("id", "label", "searchable", F.when(F.size("embedding") == len(LETTERS), v).otherwise("kept").alias("vec"))
+
 
+def embedding_report(s: SparkSession, d: str) -> DataFrame:
+    near = s.createDataFrame([(0, "DNA"), (1, "protein")], "no int, term string").withColumn("vec", counted("term"))
+    return embedding_job(s, d, origins=near, below=0.3).report
 
-add("op_update_embeddings", embedded)
+
+_MADE = f"""h AS (SELECT id, label, identifier, coalesce(mode <> 2, true) AS searchable, {_counted_sql("label")} AS v FROM entries WHERE dictionary_id = 16),
+    g AS (SELECT * FROM h WHERE label IS NOT NULL AND list_sum(v) > 0)"""
+add(
+    "op_update_embeddings",
+    embedded,
+    f"""WITH {_MADE}, k AS (SELECT id, label, searchable, 'kept' AS vec FROM semantic_dict_16 WHERE id NOT IN (SELECT id FROM g)
+    UNION ALL SELECT id, label, searchable, array_to_string(list_transform(v, lambda x: CAST(CAST(x AS INTEGER) AS VARCHAR)), ' ') FROM g)
+    SELECT k.id, k.label, coalesce(h.searchable, k.searchable) AS searchable, vec FROM k LEFT JOIN h USING (id)""",
+)
+add(
+    "op_update_embeddings_report",
+    embedding_report,
+    f"""WITH {_MADE}, o AS (SELECT {_counted_sql("'DNA'")} AS a, {_counted_sql("'protein'")} AS b),
+    n AS (SELECT count(*) AS n FROM g, o WHERE searchable AND least(list_cosine_distance(v, a), list_cosine_distance(v, b)) < 0.3)
+    SELECT count(*) AS total, (SELECT count(*) FROM g) AS completed, count(*) - (SELECT count(*) FROM g) AS failed, round((SELECT count(*) FROM g) / count(*) * 100, 2) AS success_rate,
+    (SELECT n FROM n) AS n_outliers FROM h""",
+)
 add("src_embedding_server", lambda s, d: table(s, d, "dictionaries").where("description IS NOT NULL").select("id", hash_embedder(16)("description").alias("embedding")))
-add("op_update_context", lambda s, d: table(s, d, "dictionaries").select("id", hash_embedder(64)("description").alias("context_embedding")))
+
+
+def contexts_updated(s: SparkSession, d: str) -> DataFrame:
+    """Every third description changed, some to nothing."""
+    before = table(s, d, "dictionaries")
+    new = F.when(F.col("id") % 9 == 0, F.lit(" ")).when(F.col("id") % 3 == 0, F.concat(F.coalesce("description", F.lit("some")), F.lit(" more"))).otherwise(F.col("description"))
+    out = dictionary_jobs.update_context(before, before.withColumn("description", new), counted)
+    v = F.array_join(F.transform("context_embedding", lambda x: x.cast("int").cast("string")), " ")
+    return out.select("id", F.when(F.size("context_embedding") == len(LETTERS), v).when(F.col("context_embedding").isNotNull(), "kept").alias("vec"))
+
+
+add(
+    "op_update_context",
+    contexts_updated,
+    f"""WITH n AS (SELECT *, CASE WHEN id % 9 = 0 THEN ' ' WHEN id % 3 = 0 THEN coalesce(description, 'some') || ' more' ELSE description END AS d FROM dictionaries)
+    SELECT id, CASE WHEN d IS NOT DISTINCT FROM description THEN CASE WHEN context_embedding IS NOT NULL THEN 'kept' END
+    WHEN trim(d) <> '' THEN array_to_string(list_transform({_counted_sql("d")}, lambda x: CAST(CAST(x AS INTEGER) AS VARCHAR)), ' ') END AS vec FROM n""",
+)

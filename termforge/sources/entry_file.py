@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from termforge.functions.udfs import normalize1, normalize2
+from termforge.functions.udfs import norms
 
 MAX_LABEL, MAX_IDENTIFIER, MAX_TOKENS = 127, 255, 10_000
 
@@ -55,19 +55,19 @@ def parsed_tags(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class Load:
-    entries: DataFrame  # line_no, label, identifier, tags, norm1, norm2
-    rejected: DataFrame  # line_no, line, reason
+    entries: DataFrame  # file, line_no, label, identifier, tags, norm1, norm2
+    rejected: DataFrame  # file, line_no, line, reason
 
 
-def read_entries(spark: SparkSession, path: str) -> Load:
-    """Entries of a file and its rejected lines. Labels of too many words are rejected with the reason token_limit."""
+def read_entries(spark: SparkSession, path: str, max_tokens: int = MAX_TOKENS) -> Load:
+    """Entries of a file and its rejected lines. Labels of more than max_tokens words are rejected with the reason token_limit."""
     rows = parsed_lines(numbered_lines(spark, path))
-    long = F.size(F.split("label", r"\s+")) > MAX_TOKENS
+    long = F.size(F.split("label", r"\s+")) > max_tokens
     rows = rows.withColumn("reason", F.coalesce("reason", F.when(long, "token_limit")))
     good = rows.where("reason IS NULL").select(
-        "line_no", "label", "identifier", parsed_tags(F.col("tag_text")).alias("tags"), normalize1("label").alias("norm1"), normalize2("label").alias("norm2")
+        "file", "line_no", "label", "identifier", parsed_tags(F.col("tag_text")).alias("tags"), norms("label").alias("n")
     )
-    return Load(good, rows.where("reason <> 'skip'").select("line_no", "line", "reason"))
+    return Load(good.select("*", "n.*").drop("n"), rows.where("reason <> 'skip'").select("file", "line_no", "line", "reason"))
 
 
 def require_empty(entries: DataFrame, dictionary_id: int) -> None:
@@ -75,13 +75,29 @@ def require_empty(entries: DataFrame, dictionary_id: int) -> None:
         raise ValueError("entries can be loaded into an empty dictionary only")
 
 
-def texts_from_json(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, text) from a JSON object or array with `text`, in file order."""
-    rows = spark.read.schema("text string").json(path, multiLine=True)
-    return rows.select(F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).cast("long").alias("doc_id"), "text")
+def _place() -> list[Column]:
+    meta = F.col("_metadata")
+    return [meta["file_path"].alias("file"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("m")]
+
+
+def texts_from_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(doc_id, text) from files of a JSON object or array with `text`, or with one object a line, numbered from 1 in their order.
+
+    A file of an object or array is read whole by one task, one of lines in splits; numbers come from counts per split, so no task sees all texts.
+    """
+    rows = spark.read.schema("text string").json(path, multiLine=not lines)
+    return _in_order(rows.select(*_place(), "text"))
 
 
 def text_from_file(spark: SparkSession, path: str) -> DataFrame:
-    """A plain file as one text per file."""
-    rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
-    return rows.select(F.row_number().over(Window.orderBy("file")).cast("long").alias("doc_id"), "text")
+    """(doc_id, text): plain files, one text each, numbered from 1 in the order of their names."""
+    rows = spark.read.text(path, wholetext=True)
+    return _in_order(rows.select(*_place(), F.col("value").alias("text")))
+
+
+def _in_order(rows: DataFrame) -> DataFrame:
+    splits = rows.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("first"))
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)  # one row per split
+    starts = splits.select("file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    placed = rows.join(starts, ["file", "block"])
+    return placed.select((F.col("start") + F.col("m") - F.col("first") + 1).alias("doc_id"), "text")
