@@ -190,8 +190,9 @@ def test_engine(spark, data):
     terms = e.find_terms([label.identifier], [name], True).collect()
     assert label.label in [x.label for x in terms[0].labels]
     assert e.complete(label.label, name, "substring").count() >= 1
-    assert label.identifier in str(e.tool("find_ids", {"labels": label.label.replace(",", "|") if "," not in label.label else [label.label], "threshold": 1}))
-    assert name in e.tool("list_dictionaries", {}) and "description" in e.tool("get_dictionary_description", {"name": name})
+    if "," not in label.label:
+        assert label.label in e.tool("find_ids", {"labels": label.label, "dictionary": name})
+    assert name in e.tool("list_dictionaries", {}) and name in e.tool("get_dictionary_description", {"name": name})
     out = e.annotate_texts([f"We saw {label.label} today.", ""], options=params.annotation_options({"threshold": "1", "longest": "0", "superfluous": "1"}))
     assert out[1]["denotations"] == [] and any(d["string"] == label.label for d in out[0]["denotations"])
     with pytest.raises(ValueError):
@@ -320,3 +321,126 @@ def test_annotate_ngram_with_own_threshold(spark):
     docs = spark.createDataFrame([(1, "Headachee")], "doc_id long, text string")
     found = a.exploded(a.annotate(docs, entries(spark, CLINICAL), dictionary(spark, 0.4), a.Options(use_ngram_similarity=True))).collect()
     assert [r.obj for r in found] == ["HP:0002315"]
+
+
+def clinical_engine(spark):
+    from termforge.engine import Engine
+
+    d = dictionary(spark).withColumns({"public": F.lit(True), "description": F.lit("of the clinic"), "created_at": F.lit(None).cast("timestamp_ntz")})
+    tagged = spark.createDataFrame([(2, 5)], "entry_id long, tag_id long"), spark.createDataFrame([(5, 1, "sign")], "id long, dictionary_id long, value string")
+    return Engine(entries(spark, CLINICAL), d, *tagged)
+
+
+def test_engine_load_export_compile(spark, tmp_path):
+    e = clinical_engine(spark)
+    with pytest.raises(ValueError):
+        e.load(str(tmp_path), "clinical")
+    lines = ["#label\tid", "glucose\tCHEBI:17234\tsugar", "glucose\tCHEBI:17234\tother", '"a, b",CHEBI:1,"x,y"', "x\tI", "lonely", "", "fructose\tCHEBI:28757\t"]
+    (tmp_path / "in.tsv").write_text("\n".join(lines) + "\n")
+    empty = e.entries.where("mode = 2")
+    from dataclasses import replace
+
+    loaded, done = replace(e, entries=empty, entry_tags=e.entry_tags.limit(0)).load(str(tmp_path / "in.tsv"), "clinical")
+    assert sorted((r.label, r.identifier, r.norm1) for r in loaded.entries.collect()) == [("a, b", "CHEBI:1", "ab"), ("fructose", "CHEBI:28757", "fructose"), ("glucose", "CHEBI:17234", "glucose")]
+    assert [(r.line_no, r.line, r.reason) for r in done.skipped.orderBy("line_no").collect()] == [(5, "x\tI", "label length"), (6, "lonely", "too few items")]
+    assert done.report.first() == (8, 3, 2)
+    assert sorted(r.value for r in loaded.tags.collect()) == ["sign", "sugar", "x", "y"] and loaded.entry_tags.count() == 3
+    assert loaded.export("clinical", str(tmp_path / "out"), with_operator=True) == "#label\tid\t#tags\toperator"
+    assert loaded.export("clinical", str(tmp_path / "out2"), mode=1) == "#label\tid"
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect())[:2] == ["#label\tid\t#tags\toperator", "a, b\tCHEBI:1\tx,y\t"]
+    compiled, index = e.compile(str(tmp_path / "index"))
+    assert {r.gram for r in index.postings.where("norm2 = 'fever'").collect()} == {"rfe", "fev", "eve", "ver", "erf"}
+    words = compiled.dictionaries.first().no_term_words
+    assert words and "is" in words
+    docs = spark.createDataFrame([(1, "Fever at night")], "doc_id long, text string")
+    assert a.exploded(compiled.annotate(docs, ["clinical"])).collect() == a.exploded(e.annotate(docs, ["clinical"])).collect() != []
+
+
+def test_engine_analysis(spark):
+    from dataclasses import replace
+
+    rows = [(i, 1, f"t{i}", f"I{i // 3}", True, [1.0 + i % 3 * 0.1, float(i // 3), 0.5]) for i in range(12)]
+    semantic = spark.createDataFrame(rows, "id long, dictionary_id long, label string, identifier string, searchable boolean, embedding array<float>")
+    e = replace(clinical_engine(spark), semantic=semantic)
+    an = replace(e.analyze, dim=3)
+    assert an.centroid().count() == 1 and an.clusters().count() == 12 and an.similar([1], 2).count() == 2
+    assert an.leave_one_out().first().total_searchable == 12
+    origins = spark.createDataFrame([(0, "x", [1.0, 0.0, 0.5])], "no int, term string, vec array<double>")
+    near = an.origin_outliers(origins, 0.01).count()
+    report = an.clean_by_origin(origins, 0.01).report.first()
+    assert report.n_outliers == near > 0 and report.total_searchable_before == 12 and report.total_searchable_after == 12 - near
+    with pytest.raises(ValueError):
+        clinical_engine(spark).analyze
+
+
+def test_tool_protocol(spark):
+    import json
+
+    from termforge.tools import respond
+
+    e = clinical_engine(spark)
+    ask = lambda method, **params: respond(e, json.dumps({"jsonrpc": "2.0", "id": 7, "method": method, "params": params}))
+    text = lambda r: r["result"]["content"][0]["text"]
+    assert ask("initialize")["result"]["capabilities"] == {"tools": {}} and ask("initialize")["id"] == 7
+    assert [t["name"] for t in ask("tools/list")["result"]["tools"]] == ["list_dictionaries", "get_dictionary_description", "find_ids", "search", "find_terms"]
+    assert respond(e, '{"jsonrpc": "2.0", "method": "notifications/initialized"}') == {}
+    assert respond(e, "{")["error"]["code"] == -32700 and respond(e, '{"id": 1}')["error"]["code"] == -32600 and ask("other")["error"]["code"] == -32603
+    found = text(ask("tools/call", name="find_ids", arguments={"labels": "Fever, nothing", "dictionary": "clinical"}))
+    assert found == 'Found identifiers for terms in dictionary "clinical":\n\n**Fever**: HP:0001945\n**nothing**: '
+    assert "all public dictionaries" in text(ask("tools/call", name="search", arguments={"labels": "Fever"}))
+    terms = text(ask("tools/call", name="find_terms", arguments={"ids": "HP:0001945,X:1", "dictionary": "clinical"}))
+    assert terms == 'Found terms for identifiers in dictionary "clinical":\n\n**HP:0001945**: Fever (from clinical)'
+    assert "Found 1 dictionaries:\n\n**clinical**\nDescription: of the clinic" in text(ask("tools/call", name="list_dictionaries"))
+    for name, arguments in (("none", {}), ("find_terms", {"ids": "x"}), ("find_ids", {"labels": " "}), ("find_ids", {"labels": "x", "dictionary": "unknown"})):
+        bad = ask("tools/call", name=name, arguments=arguments)
+        assert bad["result"]["isError"] and text(bad).startswith("Error: ")
+
+
+def test_services(spark):
+    """Embedding, list of models and callback against a server of this machine."""
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    got = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def answer(self, code, value):
+            self.send_response(code)
+            self.end_headers()
+            self.wfile.write(json.dumps(value).encode())
+
+        def do_GET(self):
+            self.answer(200, {"models": [{"name": "m1"}, "m2"]})
+
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            self.answer(400 if "bad" in body["input"] else 200, {"embeddings": [[float(len(x)), 1.0] for x in body["input"]]})
+
+        def do_PUT(self):
+            got.extend(json.loads(self.rfile.read(int(self.headers["Content-Length"]))))
+            self.answer(200, {})
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    try:
+        df = spark.createDataFrame([("fever",), (None,), ("",), ("ab",)], "t string")
+        assert [r.v for r in df.select(embedder.service_embedder(url, batch=1)("t").alias("v")).collect()] == [[5.0, 1.0], None, None, [2.0, 1.0]]
+        assert embedder.models(url) == ["m1", "m2"]
+        with pytest.raises(embedder.ClientError):
+            embedder.fetch(url, ["bad"])
+        export.put_results(a.annotate(spark.createDataFrame([(1, "Fever"), (2, "Headache")], "doc_id long, text string"), entries(spark, CLINICAL), dictionary(spark)), url)
+        assert sorted((r["doc_id"], r["denotations"][0]["obj"]) for r in got) == [(1, "HP:0001945"), (2, "HP:0002315")]
+    finally:
+        server.shutdown()
+
+
+def test_texts_are_numbered_in_order(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"text": "one"}, {"text": "two"}]')
+    (tmp_path / "b.json").write_text('{"text": "three"}')
+    assert sorted(entry_file.texts_from_json(spark, str(tmp_path)).collect()) == [(1, "one"), (2, "two"), (3, "three")]
+    assert sorted(r[0] for r in entry_file.text_from_file(spark, str(tmp_path)).collect()) == [1, 2]
