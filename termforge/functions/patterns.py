@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
-import re
 from functools import lru_cache
 
-# What has no counterpart.
-UNSUPPORTED = (r"\G", r"\K", r"\p{", r"\R", r"\X")
+import regex
 
 
 @lru_cache(maxsize=10_000)
-def compiled(expression: str) -> re.Pattern[str]:
-    """The expression for Python: named groups, hex digits and ends of text are rewritten; ^ and $ are those of lines."""
-    for u in UNSUPPORTED:
-        if u in expression:
-            raise ValueError(f"pattern uses {u}, which has no counterpart: {expression}")
-    e = re.sub(r"\(\?<(?![=!])", "(?P<", expression)
-    e = e.replace(r"\h", "[0-9a-fA-F]").replace(r"\Z", r"(?=\n?\Z)").replace(r"\z", r"\Z")
-    return re.compile(e, re.MULTILINE)
+def compiled(expression: str) -> regex.Pattern[str]:
+    """The expression as this engine's: hex digits and ends of text are rewritten; ^ and $ are those of lines. A ValueError if it can't be used."""
+    e = expression.replace(r"\h", "[0-9a-fA-F]").replace(r"\Z", r"(?=\n?\Z)").replace(r"\z", r"\Z")
+    try:
+        return regex.compile(e, regex.MULTILINE | regex.VERSION0)
+    except regex.error as err:
+        raise ValueError(f"pattern can't be used: {expression}: {err}") from err
+
+
+def usable(expression: str) -> bool:
+    try:
+        compiled(expression)
+    except ValueError:
+        return False
+    return True
 
 
 def matches(text: str, expression: str) -> list[tuple[int, int]]:

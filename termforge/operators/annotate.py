@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from termforge.functions import text as kernels
 from termforge.functions.abbreviations import local_abbreviations
 from termforge.functions.patterns import matches
+from termforge.functions.patterns import usable as usable_pattern
 from termforge.functions.resolve import Denotation, merged, resolve
 from termforge.functions.similarity import scored, str_sim
 from termforge.functions.udfs import norms, worth_embedding
@@ -196,8 +197,12 @@ def best_matches(matches_: DataFrame, superfluous: bool) -> DataFrame:
 
 
 def pattern_denotations(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(doc_id, begin, end, obj, string): every match of every active pattern. Patterns are few rows that a user wrote, and are collected."""
-    active = [(r.expression, r.identifier) for r in patterns.where("active AND expression IS NOT NULL AND identifier IS NOT NULL").orderBy("id").collect()]
+    """(doc_id, begin, end, obj, string): every match of every active pattern. Patterns are few rows that a user wrote, and are collected.
+
+    One that can't be compiled matches nothing; edits.add_patterns() refuses it when it is stored.
+    """
+    stored = patterns.where("active AND expression IS NOT NULL AND identifier IS NOT NULL").orderBy("id").collect()
+    active = [(r.expression, r.identifier) for r in stored if usable_pattern(r.expression)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termforge.functions.modes import Mode
+from termforge.functions.patterns import compiled
 from termforge.operators.filters import with_any_tag
 from termforge.session import written
 
@@ -166,6 +167,15 @@ def create_entries(existing: DataFrame, wanted: DataFrame, norm1: Column, norm2:
     )
 
 
+def add_patterns(patterns: DataFrame, dictionary_id: int, new: list[tuple[str, str]]) -> DataFrame:
+    """Patterns with new ones of (expression, identifier), active, numbered on from the largest id; a ValueError for an expression that can't be used."""
+    for expression, _ in new:
+        compiled(expression)
+    rows = patterns.sparkSession.createDataFrame([(i, dictionary_id, e, o, True) for i, (e, o) in enumerate(new, 1)], "n long, dictionary_id long, expression string, identifier string, active boolean")
+    top = patterns.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    return patterns.unionByName(rows.withColumn("id", F.col("n") + top).select(patterns.columns))
+
+
 def toggle_patterns(patterns: DataFrame, ids: list[int]) -> DataFrame:
     return patterns.withColumn("active", F.when(F.col("id").isin(ids), ~F.col("active")).otherwise(F.col("active")))
 

@@ -134,6 +134,7 @@ add("fn_normalize2", lambda s, d: table(s, d, "entries").where("label IS NOT NUL
 add("fn_tokenize", lambda s, d: table(s, d, "documents").select("doc_id", F.inline(udfs.tokenize("text"))))
 add("fn_sentence_break", lambda s, d: table(s, d, "documents").select("doc_id", F.explode(udfs.sentence_breaks("text")).alias("at")))
 add("fn_normalize_ja", lambda s, d: _normalized(s, d, "jpn"))
+add("fn_normalize_ko", lambda s, d: _normalized(s, d, "kor"))
 add("fn_normalize_str", lambda s, d: table(s, d, "entries").where("label IS NOT NULL").select("id", udfs.normalize_str("label").alias("label")))
 add("dml_mode_transitions", lambda s, d: _transitions(s, d), """SELECT id, CASE WHEN mode = 2 THEN 0 WHEN mode = 0 AND id % 2 = 0 THEN 1 WHEN mode = 0 THEN 2 WHEN mode = 6 THEN 1 ELSE mode END AS mode,
     CASE WHEN mode = 2 OR mode = 6 OR (mode = 0 AND id % 2 = 0) THEN true WHEN mode = 0 THEN false ELSE searchable END AS searchable FROM entries""")

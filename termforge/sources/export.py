@@ -59,7 +59,10 @@ def read_in_order(header: str, lines: DataFrame) -> Iterator[str]:
 
 
 def write_zip(name: str, header: str, lines: DataFrame, folder: str) -> str:
-    """A ZIP with the entries of all modes, streamed through the driver; it appears under its name once it is whole."""
+    """A ZIP with the entries of all modes, streamed through the driver; it appears under its name once it is whole.
+
+    It is one file for one reader to download, on the driver's machine, so it suits one dictionary; write_lines() writes tables of any size.
+    """
     base = "_".join(name.split())
     Path(folder).mkdir(parents=True, exist_ok=True)
     handle, part = tempfile.mkstemp(dir=folder)

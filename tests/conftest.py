@@ -11,11 +11,12 @@ os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
 
 @pytest.fixture(scope="session")
 def spark():
-    from termforge.session import local_session
+    from termforge.session import local_session, remove_intermediates
 
     s = local_session(4)
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    remove_intermediates(s)
     s.stop()
 
 

@@ -444,3 +444,14 @@ def test_texts_are_numbered_in_order(spark, tmp_path):
     (tmp_path / "b.json").write_text('{"text": "three"}')
     assert sorted(entry_file.texts_from_json(spark, str(tmp_path)).collect()) == [(1, "one"), (2, "two"), (3, "three")]
     assert sorted(r[0] for r in entry_file.text_from_file(spark, str(tmp_path)).collect()) == [1, 2]
+
+
+def test_one_bad_pattern_spoils_nothing(spark):
+    rows = [(1, 1, "(", "BAD", True), (2, 1, "[0-9]+", "NUMBER", True)]
+    patterns = spark.createDataFrame(rows, "id long, dictionary_id long, expression string, identifier string, active boolean")
+    docs = spark.createDataFrame([(1, "12 fever (34"), (2, None)], "doc_id long, text string")
+    assert sorted(r.string for r in a.pattern_denotations(docs, patterns).collect()) == ["12", "34"]
+    with pytest.raises(ValueError):
+        edits.add_patterns(patterns, 1, [("a+", "A"), ("(", "B")])
+    more = edits.add_patterns(patterns, 1, [("a+", "A"), ("b+", "B")])
+    assert [(r.id, r.expression, r.active) for r in more.orderBy("id").collect()][2:] == [(3, "a+", True), (4, "b+", True)]

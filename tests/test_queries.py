@@ -5,6 +5,8 @@ import pytest
 from termforge.plans import registry
 from tests.oracle import compare, connect
 
+#: Queries without rows on the smallest data: it has no Korean dictionary.
+EMPTY = {"fn_normalize_ko_all"}
 QUERIES, ORACLE = registry.queries(), registry.oracle_sql()
 
 
@@ -20,8 +22,7 @@ def test_against_sql(spark, data, con, name):
 
 @pytest.mark.parametrize("name", [n for n in QUERIES if n not in ORACLE])
 def test_runs(spark, data, name):
-    df = QUERIES[name](spark, data)
-    assert df.columns and df.count() >= 0
+    assert (QUERIES[name](spark, data).count() > 0) == (name not in EMPTY)
 
 
 def test_contract(spark):

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 
 from termforge.functions import text as t
 from termforge.functions.abbreviations import local_abbreviations
-from termforge.functions.patterns import compiled, matches
+from termforge.functions.patterns import compiled, matches, usable
 from termforge.functions.porter2 import stem
 from termforge.functions.resolve import Denotation, consolidated, merged, ordered, resolve, without_crossings, without_embedded
 
@@ -114,8 +114,11 @@ def test_patterns():
     assert matches("ab12 cd34", r"(?<n>\d+)") == [(2, 4), (7, 9)]
     assert compiled(r"\h+\z").pattern == r"[0-9a-fA-F]+\Z"
     assert matches("x\ny", "^y$") == [(2, 3)]
-    with pytest.raises(ValueError):
-        compiled(r"\p{L}")
+    assert matches("é1", r"\p{L}") == [(0, 1)] and matches("ab ac", r"a\Kc") == [(4, 5)]
+    for bad in ("(", "[a", r"(?<n", "a{2,1}"):
+        assert not usable(bad)
+        with pytest.raises(ValueError):
+            compiled(bad)
 
 
 def test_decapitalize_and_simple_tokens():
