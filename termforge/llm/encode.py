@@ -14,6 +14,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termforge.session import spread
+
 #: Fixed value: how the public tokenizers' description says that a text is split into words.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A place that is a word's end in whatever text it stands: no word holds a letter and then a non-letter, a digit and then a non-digit, or
@@ -140,14 +142,14 @@ def _sizes(path: str, leaf: int):
 
 
 def token_ids(df: DataFrame, id_col: str, text: str, vocabulary: str | None = None, leaf: int = LEAF, rows: int = 256) -> DataFrame:
-    """(id_col, ids): the ids of each text, without special tokens; one narrow pass, no shuffle.
+    """(id_col, ids): the ids of each text, without special tokens; one narrow pass, but that tables of fewer files than cores are spread first.
 
     vocabulary is a file of ranks, by default byte_bpe_50k. Null and empty texts give an empty list; strings of special tokens in a text are
     ordinary text. Texts of any length are encoded whole, in leaves of `leaf` characters; `rows` bounds what a task holds at once. One
     row per row of df; other columns don't matter.
     """
     path = vocabulary or f"{tokenizer_folder()}/byte_bpe_50k.tiktoken"
-    out = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+    out = spread(df.select(F.col(id_col).alias("id"), F.col(text).alias("text")), "id")
     kind = out.schema["id"].dataType.simpleString()
     return out.mapInArrow(_ids(path, leaf, rows), f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
@@ -157,4 +159,4 @@ def with_token_count(df: DataFrame, keep: list[str], text: str, vocabulary: str
     path = vocabulary or f"{tokenizer_folder()}/byte_bpe_50k.tiktoken"
     out = df.select(*keep, F.col(text).alias("__text"))
     kinds = ", ".join(f"`{c}` {out.schema[c].dataType.simpleString()}" for c in keep)
-    return out.mapInArrow(_sizes(path, leaf), f"{kinds}, tokens long")
+    return spread(out, "__text").mapInArrow(_sizes(path, leaf), f"{kinds}, tokens long")
