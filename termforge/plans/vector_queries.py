@@ -290,7 +290,7 @@ def embedding_report(s: SparkSession, d: str) -> DataFrame:
     return embedding_job(s, d, origins=near, below=0.3).report
 
 
-_MADE = f"""h AS (SELECT id, label, identifier, coalesce(mode <> 2, true) AS searchable, {_counted_sql("label")} AS v FROM entries WHERE dictionary_id = 16),
+_MADE = f"""h AS (SELECT id, label, identifier, coalesce(mode <> 2, true) AS searchable, {_counted_sql("coalesce(label, '')")} AS v FROM entries WHERE dictionary_id = 16),
     g AS (SELECT * FROM h WHERE label IS NOT NULL AND list_sum(v) > 0)"""
 add(
     "op_update_embeddings",

@@ -30,7 +30,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 def parsed_lines(lines: DataFrame) -> DataFrame:
     """Adds label, identifier, tag_text and reason; reason is null for a good line, `skip` for blank and comment lines."""
     line = F.trim("line", F.lit(" \t\r\n\x0b\x0c"))
-    csv = F.from_csv(line, "a string, b string, c string, d string, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "quote": '"', "escape": '"'})
+    csv = F.from_csv(line, "a string, b string, c string, d string, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "quote": '"', "escape": '"', "nullValue": "\x01", "emptyValue": ""})
     tabs = F.split(line, "\t")
     given = lines.withColumn("t", tabs).withColumn("c", csv).withColumn("is_tab", line.contains("\t"))
     item = lambda i, name: F.when(F.col("is_tab"), F.try_element_at("t", F.lit(i))).otherwise(F.col(f"c.{name}"))
