@@ -39,7 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.partition("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share: intermediate tables go there")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="termforge-"))
