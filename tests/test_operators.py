@@ -455,3 +455,17 @@ def test_one_bad_pattern_spoils_nothing(spark):
         edits.add_patterns(patterns, 1, [("a+", "A"), ("(", "B")])
     more = edits.add_patterns(patterns, 1, [("a+", "A"), ("b+", "B")])
     assert [(r.id, r.expression, r.active) for r in more.orderBy("id").collect()][2:] == [(3, "a+", True), (4, "b+", True)]
+
+
+def test_crossings_are_counted_without_a_list_of_words(spark, data):
+    """Words of a batch of texts as rows of Python objects took more than an executor's memory."""
+    from termforge.functions.udfs import sentence_breaks, tokenize
+    from termforge.plans.annotate_queries import QUERIES
+
+    counted = QUERIES["fn_cross_sentence"](spark, data)
+    assert "tokenize(" not in counted._jdf.queryExecution().analyzed().toString()
+    want = {}
+    for r in spark.read.parquet(f"{data}/documents.parquet").where("text IS NOT NULL").select("doc_id", tokenize("text").alias("t"), sentence_breaks("text").alias("at")).collect():
+        if len(r.t) > 1:
+            want[r.doc_id] = sum(any(x.begin < b < y.end for b in r["at"]) for x, y in zip(r.t, r.t[1:]))
+    assert {r.doc_id: r.n for r in counted.collect()} == want and max(want.values()) > 0

@@ -40,6 +40,14 @@ def test_breaks_and_levels():
     assert toks[3].opens and toks[4].closes and not toks[0].opens
 
 
+@given(st.text(st.sampled_from("aB1.!'( \n\t頭カーひ\u0301"), max_size=30))
+@settings(max_examples=500, deadline=None)
+def test_crossings(s):
+    toks, breaks = t.tokens(s), t.sentence_breaks(s)
+    want = sum(t.crosses(breaks, a.begin, z.end) for a, z in zip(toks, toks[1:]))
+    assert t.crossings(s) == (want if len(toks) > 1 else None)
+
+
 def spans(s, **rules):
     toks, breaks = t.tokens(s), t.sentence_breaks(s)
     t.add_levels(toks, s, breaks)
