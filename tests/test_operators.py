@@ -469,3 +469,54 @@ def test_crossings_are_counted_without_a_list_of_words(spark, data):
         if len(r.t) > 1:
             want[r.doc_id] = sum(any(x.begin < b < y.end for b in r["at"]) for x, y in zip(r.t, r.t[1:]))
     assert {r.doc_id: r.n for r in counted.collect()} == want and max(want.values()) > 0
+
+
+def test_semantic_matches_shuffle_neither_vectors_nor_pairs(spark):
+    """Each span's vector was copied to every block of rows, and all pairs came back through a shuffle, two joins and a window."""
+    from termforge.functions.udfs import hash_embedder
+
+    names = [(i, 1, x, f"X:{i}", True) for i, x in enumerate(["fever", "fevers", "storm"])]
+    vectors = spark.createDataFrame(names, "id long, dictionary_id long, label string, identifier string, searchable boolean").withColumn("embedding", hash_embedder(64)("label").cast("array<float>"))
+    spans = spark.createDataFrame([("Fever", "fever", "fever"), ("12.5", "12.5", "12.5"), ("ox", "ox", "ox")], "span string, norm1 string, norm2 string")
+    found = a.semantic_matches(spans, vectors, hash_embedder(64), 0.45)
+    assert [(r.span, r.identifier) for r in found.orderBy("identifier").collect()] == [("Fever", "X:0"), ("Fever", "X:1")]
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_held_knn_as_exact_knn(spark):
+    import numpy as np
+
+    from termforge.operators.knn import held_knn
+
+    rng = np.random.default_rng(5)
+    x = rng.integers(-2, 3, (300, 6)).astype(float)  # few values, so that many distances tie
+    x = x[np.abs(x).sum(1) > 0]
+    rows = spark.createDataFrame([(int(i), int(i % 3), f"l{i}", v.tolist()) for i, v in enumerate(x)], "id long, per long, label string, vec array<float>")
+    asked = spark.createDataFrame([(1000 + i, rng.normal(size=6).round(1).tolist()) for i in range(40)], "no long, vec array<double>")
+    none = F.lit(None).cast("string")
+    want = exact_knn(asked.withColumn("grp", none), rows.withColumn("grp", none), 4, 0.5).where("rank <= IF(per = 1, 2, 4)")
+    want = {(r.query, r.id): round(r.distance, 9) for r in want.collect()}
+    odd = spark.createDataFrame([(1, None), (2, [0.0] * 6), (3, [1.0, 2.0])], asked.schema)
+    k = F.when(F.col("per") == 1, 2).otherwise(4).alias("k")
+    for round_bytes in (1 << 20, 4000):
+        got = held_knn(asked.unionByName(odd), rows.select("*", k), 0.5, round_bytes)
+        assert got.columns == ["no", "id", "label", "distance"]
+        assert {(r.no, r.id): round(r.distance, 9) for r in got.collect()} == want and len(want) > 100
+
+
+def test_held_knn_cuts_pairs_while_it_holds_them(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from termforge.operators import knn
+
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(500, 8)).astype(np.float32), rng.normal(size=(30, 8))
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    t = pa.table({"id": np.arange(500), "per": np.arange(500) % 2, "k": np.full(500, 3), "vec": pa.array(x.tolist(), pa.list_(pa.float32()))})
+    whole = [np.concatenate(c) for c in zip(*knn._Rows(t).ready().near(y, 2.0, 12))]
+    assert len(whole[0]) == 30 * 2 * 3
+    for name, n in (("HELD", 50), ("QUERY_TILE", 7), ("ROW_TILE", 64)):
+        monkeypatch.setattr(knn, name, n)
+    cut = [np.concatenate(c) for c in zip(*knn._Rows(t).ready().near(y, 2.0, 12))]
+    assert all(np.array_equal(p, q) for p, q in zip(whole, cut))

@@ -63,6 +63,15 @@ def test_candidate_spans():
     assert spans("", longest=2) == []
 
 
+@given(st.text(st.sampled_from("abT1.,'- ()\n頭カーひé\u0301"), max_size=30))
+@settings(max_examples=300, deadline=None)
+def test_norms_of_a_span_follow_from_its_text(s):
+    toks, breaks = t.tokens(s), t.sentence_breaks(s)
+    t.add_levels(toks, s, breaks)
+    for x in t.candidate_spans(toks, breaks, t.SpanRules()):
+        assert t.norms(s[x.begin : x.end]) == (x.norm1, x.norm2)
+
+
 def test_semantic_prefilter():
     assert [x for x in ["a", "ab", "abc", "abcd", "fever"] if t.worth_embedding(x)] == ["abc", "abcd", "fever"]
     assert [x for x in ["123", "45.67", "1,234", "abc123", "test", "12 34"] if t.worth_embedding(x)] == ["abc123", "test"]
