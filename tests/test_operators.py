@@ -520,3 +520,18 @@ def test_held_knn_cuts_pairs_while_it_holds_them(monkeypatch):
         monkeypatch.setattr(knn, name, n)
     cut = [np.concatenate(c) for c in zip(*knn._Rows(t).ready().near(y, 2.0, 12))]
     assert all(np.array_equal(p, q) for p, q in zip(whole, cut))
+
+
+def test_both_kinds_of_matches_meet_in_one_shuffle(spark):
+    """Three windows, of two different keys, each shuffled all matches."""
+    row = [("a", "a", "a", 1, "X:1", "a", None, None, 0.9)]
+    kind = "span string, norm1 string, norm2 string, dictionary_id long, identifier string, label string, e1 string, e2 string, score double"
+    found = a.best_matches(a.surface_and_semantic(spark.createDataFrame(row, kind), spark.createDataFrame(row, kind)), False)
+    assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
+    assert found.count() == 1
+
+
+def test_span_texts_that_a_table_may_hold_get_their_norms(spark):
+    known = spark.createDataFrame([("fever",), ("cytokinstorm",)], "norm2 string")
+    texts = spark.createDataFrame([("Fevers",), ("Cytokine storms",), ("zebra",)], "span string")
+    assert {tuple(r) for r in a.with_norms(texts, known).collect()} == {("Fevers", "fevers", "fever"), ("Cytokine storms", "cytokinestorms", "cytokinstorm")}
