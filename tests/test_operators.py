@@ -535,3 +535,20 @@ def test_span_texts_that_a_table_may_hold_get_their_norms(spark):
     known = spark.createDataFrame([("fever",), ("cytokinstorm",)], "norm2 string")
     texts = spark.createDataFrame([("Fevers",), ("Cytokine storms",), ("zebra",)], "span string")
     assert {tuple(r) for r in a.with_norms(texts, known).collect()} == {("Fevers", "fevers", "fever"), ("Cytokine storms", "cytokinestorms", "cytokinstorm")}
+
+
+def test_best_semantic_matches_need_no_shuffle(spark):
+    from termforge.operators.knn import held_knn
+
+    rows = [(i, 1 + i % 3, f"l{i % 4}", f"X:{i % 5}" if i % 7 else None, True, [1.0, 1.0] if i < 30 else [1.0, 0.9]) for i in range(60)]
+    vectors = spark.createDataFrame(rows, "id long, dictionary_id long, label string, identifier string, searchable boolean, embedding array<float>")
+    spans = spark.createDataFrame([("zebra", None, None)], "span string, norm1 string, norm2 string")
+    embed = lambda c: F.array(F.lit(1.0), F.lit(1.0))
+    one = a.semantic_matches(spans, vectors, embed, 0.5, best=True)
+    assert "Exchange" not in one._jdf.queryExecution().executedPlan().toString()
+    all_ = a.semantic_matches(spans, vectors, embed, 0.5)
+    want = a.best_matches(a.surface_and_semantic(all_.where("false"), all_), False)
+    assert sorted(map(str, one.collect())) == sorted(map(str, want.select(one.columns).collect())) and one.count() == 5
+    kept = ["id", "dictionary_id", "label", "identifier", F.col("embedding").alias("vec"), F.col("dictionary_id").alias("per"), F.lit(10).alias("k")]
+    rounds = held_knn(spans.select("span", embed(None).alias("vec")), vectors.select(*kept), 0.5, 500, first_of=("identifier", ["dictionary_id", "label"]))
+    assert {(r.identifier, r.dictionary_id, r.label) for r in rounds.collect()} == {(r.identifier, r.dictionary_id, r.label) for r in one.collect()}
