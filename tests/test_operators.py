@@ -552,3 +552,39 @@ def test_best_semantic_matches_need_no_shuffle(spark):
     kept = ["id", "dictionary_id", "label", "identifier", F.col("embedding").alias("vec"), F.col("dictionary_id").alias("per"), F.lit(10).alias("k")]
     rounds = held_knn(spans.select("span", embed(None).alias("vec")), vectors.select(*kept), 0.5, 500, first_of=("identifier", ["dictionary_id", "label"]))
     assert {(r.identifier, r.dictionary_id, r.label) for r in rounds.collect()} == {(r.identifier, r.dictionary_id, r.label) for r in one.collect()}
+
+
+def test_products_of_three_queries_choose_no_pair_too_few(monkeypatch):
+    """Each query had its own products, in single precision; now three share those of a double, 16 bits each."""
+    import numpy as np
+    import pyarrow as pa
+
+    from termforge.operators import knn
+
+    rng = np.random.default_rng(7)
+    for size in (1, 3, 64, 200):
+        x = np.concatenate([rng.normal(size=(90, size)), np.eye(size)[:3], -np.ones((1, size))])
+        x = np.concatenate([x, x[:30] + 1e-3, np.full((1, size), np.nan)]).astype(np.float32)
+        t = pa.table({"id": np.arange(len(x)), "per": np.zeros(len(x), int), "k": np.full(len(x), 1000), "vec": pa.array(list(x), pa.list_(pa.float32()))})
+        y = x[rng.permutation(len(x) - 1)][:76].astype(np.float64)
+        y /= np.linalg.norm(y, axis=1)[:, None]
+        d = 1 - y @ (x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]).T
+        for tile, most in ((256, 0.55), (256, 0.02), (5, 0.9), (5, 3.0)):
+            monkeypatch.setattr(knn, "QUERY_TILE", tile)
+            rows = knn._Rows(t).ready()
+            q, r, _ = map(np.concatenate, zip(*rows.near(y, most, 12)))
+            near = {(int(a), int(b)) for a, b in zip(*np.nonzero(d <= most - 1e-9))}
+            assert near <= set(zip(q.tolist(), r.tolist())) <= {(int(a), int(b)) for a, b in zip(*np.nonzero(d <= most + 1e-9))}
+
+
+def test_span_texts_come_distinct_and_spread(spark):
+    """All occurrences with their norms were emitted, and their texts cut into as few partitions as their bytes call for."""
+    from termforge.functions import text as kernels
+
+    docs = spark.createDataFrame([(1, "Cytokine storms. Cytokine storms and fevers"), (2, "Fevers"), (3, None), (4, "")], "doc_id long, text string")
+    known = spark.createDataFrame([("fever",)], "norm2 string")
+    got = a.candidate_texts(docs, kernels.SpanRules(), known)
+    held = {r.span: r.held for r in got.collect()}
+    assert set(held) == {r.span for r in a.candidate_occurrences(docs, kernels.SpanRules()).collect()} and got.count() == len(held)
+    assert {x for x, h in held.items() if h} == {"fevers", "Fevers", "and fevers"} & set(held) | {x for x in held if kernels.norms(x)[1] == "fever"}
+    assert got.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
