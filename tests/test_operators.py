@@ -588,3 +588,14 @@ def test_span_texts_come_distinct_and_spread(spark):
     assert set(held) == {r.span for r in a.candidate_occurrences(docs, kernels.SpanRules()).collect()} and got.count() == len(held)
     assert {x for x, h in held.items() if h} == {"fevers", "Fevers", "and fevers"} & set(held) | {x for x in held if kernels.norms(x)[1] == "fever"}
     assert got.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_combined_finds_norms_only_of_spans_that_entries_may_match(spark, monkeypatch):
+    """All distinct spans were normed a second time, to learn which of them entries may match by surface."""
+    from termforge.plans import annotate_queries as q
+    from termforge.plans.golden_queries import folder
+
+    asked, with_norms = [], a.with_norms
+    monkeypatch.setattr(a, "with_norms", lambda texts, known: asked.append(texts.count()) or with_norms(texts, known))
+    at = folder(spark)
+    assert q.combined(spark, at).count() == 22 and 0 < asked[0] < q.span_texts(spark, at).count() / 2
